@@ -507,14 +507,14 @@ def _entity_years(where: str) -> str:
     picks = ", ".join(pick(name, n, y) for name in "klbr" for n, y in enumerate((Y0, Y1)))
     return statement(
         f"SELECT hotel_id, region, country, {_compared('conversion_rate')} FROM wide LEFT JOIN dim USING (hotel_id)",
-        both=f"""
+        merged=f"""
             SELECT hotel_id, y, {big('coalesce(k, 0)')} AS k, {big('coalesce(l, 0)')} AS l,
                    coalesce(b, 0) AS b, {big('coalesce(r, 0)')} AS r
             FROM (SELECT hotel_id, year(day) AS y, sum(cents) AS k, sum(leads) AS l
                   FROM ads WHERE year(day) IN ({Y0}, {Y1}){where} GROUP BY ALL)
             FULL JOIN (SELECT hotel_id, year(day) AS y, count(DISTINCT booking_id) AS b, sum(cents) AS r
                        FROM sales WHERE year(day) IN ({Y0}, {Y1}){where} GROUP BY ALL) USING (hotel_id, y)""",
-        wide=f"SELECT hotel_id, {picks} FROM both GROUP BY hotel_id",
+        wide=f"SELECT hotel_id, {picks} FROM merged GROUP BY hotel_id",
     )
 
 

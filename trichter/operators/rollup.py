@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trichter.functions.dates import with_period
@@ -45,6 +45,7 @@ def funnel_rollup(
     conversions: DataFrame,
     keys: Sequence[str],
     spine: DataFrame | None = None,
+    bookings: bool = True,
 ) -> DataFrame:
     """Both facts at the grain of ``keys``, optionally with a spine of keys that must appear.
 
@@ -52,25 +53,30 @@ def funnel_rollup(
     expresses any outer join afterwards as a filter: keep ``from_spend`` for a left join from
     spend, ``from_spine`` for a dense grid, everything for a full join. As in an equi-join, a
     conversion row with a null key matches nothing and is left out.
+
+    Conversions are first reduced to one row per key and booking id, so that distinct bookings
+    are a plain count in the final aggregate and spend rows skip that shuffle. Callers that
+    need no bookings skip it as well.
     """
+    revenue_cents = cents(F.col("revenue")).alias("revenue_cents")
+    matching = conversions.where(reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys]))
+    if bookings:
+        sales = matching.select(*keys, "booking_id", revenue_cents).groupBy(*keys, "booking_id")
+        sales = sales.agg(F.sum("revenue_cents").alias("revenue_cents"))
+    else:
+        sales = matching.select(*keys, revenue_cents)
     parts = [
         spend.select(*keys, *VOLUMES, cents(F.col("cost")).alias("cost_cents"), F.lit(True).alias("from_spend")),
-        conversions.where(reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])).select(
-            *keys,
-            "booking_id",
-            cents(F.col("revenue")).alias("revenue_cents"),
-            F.lit(True).alias("from_conversions"),
-        ),
+        sales.withColumn("from_conversions", F.lit(True)),
     ]
+    flags = ["from_spend", "from_conversions"]
     if spine is not None:
         parts.append(spine.select(*keys, F.lit(True).alias("from_spine")))
+        flags.append("from_spine")
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    flags = [name for name in stacked.columns if name.startswith("from_")]
     return stacked.groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in VOLUMES],
-        F.sum("cost_cents").alias("cost_cents"),
-        F.countDistinct("booking_id").alias("bookings"),
-        F.sum("revenue_cents").alias("revenue_cents"),
+        *[F.sum(name).alias(name) for name in (*VOLUMES, "cost_cents", "revenue_cents")],
+        *([F.count("booking_id").alias("bookings")] if bookings else []),
         *[F.coalesce(F.max(name), F.lit(False)).alias(name) for name in flags],
     )
 
@@ -86,10 +92,27 @@ def compact_spend(spend: DataFrame) -> DataFrame:
         "hotel_id",
         F.col("month").alias("date"),
         *VOLUMES,
-        (F.col("cost_cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("cost"),
+        _amount("cost_cents").alias("cost"),
+    )
+
+
+def compact_revenue(conversions: DataFrame) -> DataFrame:
+    """The conversion fact reduced to revenue per entity and month, still shaped like a conversion
+    fact. For analyses that use no bookings: distinct bookings do not add up across rows."""
+    monthly = (
+        with_period(conversions, "booking_date", "month")
+        .groupBy("hotel_id", "month")
+        .agg(F.sum(cents(F.col("revenue"))).alias("revenue_cents"))
+    )
+    return monthly.select(
+        "hotel_id", F.col("month").alias("booking_date"), _amount("revenue_cents").alias("revenue")
     )
 
 
+def _amount(cents_column: str) -> Column:
+    return (F.col(cents_column).cast("decimal(20,0)") / 100).cast(MONEY)
+
+
 def with_attributes(df: DataFrame, entities: DataFrame) -> DataFrame:
     """Left-join the entity attributes. No broadcast hint: the dimension may grow, so the choice
     is left to Spark's own size check, with a shuffled join beyond the threshold."""

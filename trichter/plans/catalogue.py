@@ -35,17 +35,18 @@ class Params:
 Analysis = Callable[[FunnelTables, Params], DataFrame]
 
 # Only the weekly series needs days; the period slice of one entity reads too little to gain
-# from the rollup. All other analyses accept the monthly rollup of the spend fact.
+# from a rollup. All other analyses accept the monthly rollup of the spend fact, and those
+# without bookings the one of revenue.
 ANALYSES: dict[str, Analysis] = {
     "monthly_kpis": lambda t, p: monthly_kpis(t.spend_by_month, t.entities),
     "rising_cost_falling_leads_strict": lambda t, p: rising_cost_falling_leads(t.spend_by_month, t.entities, True),
     "rising_cost_falling_leads_loose": lambda t, p: rising_cost_falling_leads(t.spend_by_month, t.entities, False),
-    "moving_average_trends": lambda t, p: moving_average_trends(t.spend_by_month, t.conversions, t.entities),
-    "longest_trend_runs": lambda t, p: longest_trend_runs(t.spend_by_month, t.conversions, t.entities),
-    "december_snapshot_trend": lambda t, p: month_snapshot_trend(t.spend_by_month, t.conversions, t.entities),
+    "moving_average_trends": lambda t, p: moving_average_trends(t.spend_by_month, t.revenue_by_month, t.entities),
+    "longest_trend_runs": lambda t, p: longest_trend_runs(t.spend_by_month, t.revenue_by_month, t.entities),
+    "december_snapshot_trend": lambda t, p: month_snapshot_trend(t.spend_by_month, t.revenue_by_month, t.entities),
     "segments_total": lambda t, p: segment_entities(t.spend_by_month, t.conversions, t.entities),
     "segments_by_year": lambda t, p: segment_entities(t.spend_by_month, t.conversions, t.entities, by_year=True),
-    "series_monthly": lambda t, p: compare_monthly_series(t.spend_by_month, t.conversions, p.years),
+    "series_monthly": lambda t, p: compare_monthly_series(t.spend_by_month, t.revenue_by_month, p.years),
     "series_weekly": lambda t, p: compare_weekly_series(t.spend, t.conversions, p.years),
     "anomalies_total": lambda t, p: detect_anomalies(t.spend_by_month, t.conversions, t.entities),
     "anomalies_by_year": lambda t, p: detect_anomalies(t.spend_by_month, t.conversions, t.entities, by_year=True),
@@ -77,11 +78,11 @@ def run_catalogue(
 ) -> list[str]:
     """Write every named analysis, in name order, below ``out_dir``; returns the folders.
 
-    The spend fact is rolled up once for all of them. Results are written by the executors.
+    Both facts are rolled up once for all of them. Results are written by the executors.
     """
     chosen = sorted(ANALYSES) if names is None else sorted(names)
     if len(chosen) > 1:
-        tables = tables.with_rollup()
+        tables = tables.with_rollups()
     folders = []
     for name in chosen:
         folder = f"{out_dir.rstrip('/')}/{name}"

@@ -14,7 +14,7 @@ MEASURES = ("cost_cents", "leads", "revenue_cents")
 
 
 def _side_by_side(spend: DataFrame, conversions: DataFrame, year: str, step: str, years: tuple[int, int]) -> DataFrame:
-    totals = funnel_rollup(spend, conversions, [year, step])
+    totals = funnel_rollup(spend, conversions, [year, step], bookings=False)
     return pivot_periods(totals, year, {y: str(y) for y in years}, MEASURES, [step])
 
 

@@ -27,21 +27,26 @@ def labelled_months(spend: DataFrame, conversions: DataFrame, entities: DataFram
     Averages are compared through their exact integer frame sums: once both frames are full the
     order is the same, and no floating-point noise can flip a label.
     """
-    grid = dense_grid(entities, month_calendar(spend, conversions), "month")
+    totals = funnel_rollup(
+        with_period(spend, "date", "month"),
+        with_period(conversions, "booking_date", "month"),
+        ["hotel_id", "month"],
+        bookings=False,
+    ).select("hotel_id", "month", "leads", "revenue_cents", F.lit(False).alias("in_grid"))
+    grid = dense_grid(entities, month_calendar(spend, conversions), "month").withColumn("in_grid", F.lit(True))
+    # Totals and grid meet on the partitioning the windows need, so the grid is shuffled once and
+    # filling it costs no join. Facts of unknown entities meet no grid row and drop out.
     monthly = (
-        funnel_rollup(
-            with_period(spend, "date", "month"),
-            with_period(conversions, "booking_date", "month"),
-            ["hotel_id", "month"],
-            grid,
-        )
-        .where("from_spine")
-        .select(
-            "hotel_id",
-            "month",
-            or_zero(F.col("leads")).alias("leads"),
-            or_zero(F.col("revenue_cents")).alias("revenue_cents"),
+        totals.unionByName(grid, allowMissingColumns=True)
+        .repartition("hotel_id")
+        .groupBy("hotel_id", "month")
+        .agg(
+            or_zero(F.sum("leads")).alias("leads"),
+            or_zero(F.sum("revenue_cents")).alias("revenue_cents"),
+            F.max("in_grid").alias("in_grid"),
         )
+        .where("in_grid")
+        .drop("in_grid")
     )
     series = Window.partitionBy("hotel_id").orderBy("month")
     frame = series.rowsBetween(1 - window, 0)

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from trichter.operators.rollup import compact_spend
+from trichter.operators.rollup import compact_revenue, compact_spend
 from trichter.session import durable
 from trichter.sources import schemas
 
@@ -22,21 +22,31 @@ TABLE_NAMES = {
 
 @dataclass(frozen=True)
 class FunnelTables:
-    """Spend fact, conversion fact and entity dimension, plus an optional monthly spend rollup."""
+    """Spend fact, conversion fact and entity dimension, plus optional monthly rollups of both facts."""
 
     spend: DataFrame
     conversions: DataFrame
     entities: DataFrame
     monthly_spend: DataFrame | None = None
+    monthly_revenue: DataFrame | None = None
 
     @property
     def spend_by_month(self) -> DataFrame:
         """The spend fact at month grain or finer, for analyses that need no finer grain."""
         return self.spend if self.monthly_spend is None else self.monthly_spend
 
-    def with_rollup(self) -> "FunnelTables":
-        """Scan the spend fact once and keep its monthly rollup for all later analyses."""
-        return replace(self, monthly_spend=durable(compact_spend(self.spend)))
+    @property
+    def revenue_by_month(self) -> DataFrame:
+        """The conversion fact at month grain or finer, for analyses that also need no bookings."""
+        return self.conversions if self.monthly_revenue is None else self.monthly_revenue
+
+    def with_rollups(self) -> "FunnelTables":
+        """Scan each fact once and keep its monthly rollup for all later analyses."""
+        return replace(
+            self,
+            monthly_spend=durable(compact_spend(self.spend)),
+            monthly_revenue=durable(compact_revenue(self.conversions)),
+        )
 
 
 def load_tables(
@@ -85,21 +95,21 @@ def write_tables(
     *,
     database: str | None = None,
     names: dict[str, str] | None = None,
+    cluster: bool = True,
 ) -> None:
     """Create or replace the three tables, as files under ``path`` or as catalog tables in ``database``.
 
-    Facts are range-partitioned by day, then entity: period filters skip files and row groups by
-    their statistics, and because the entity and document ids are part of the range, one busy day
+    With ``cluster``, facts are range-partitioned by day, then entity: period filters skip files and row groups by
+    their statistics, and because the entity and row ids are part of the range, one busy day
     or entity still spreads over many files.
     """
     if (path is None) == (database is None):
         raise ValueError("give either a path or a database")
     names = {**TABLE_NAMES, **(names or {})}
-    frames = {
-        "spend": _clustered(tables.spend, "date", "hotel_id", "campaign_id"),
-        "conversions": _clustered(tables.conversions, "booking_date", "hotel_id", "booking_id"),
-        "entities": tables.entities,
-    }
+    frames = {"spend": tables.spend, "conversions": tables.conversions, "entities": tables.entities}
+    if cluster:
+        frames["spend"] = _clustered(tables.spend, "date", "hotel_id", "campaign_id")
+        frames["conversions"] = _clustered(tables.conversions, "booking_date", "hotel_id", "booking_id")
     for key, df in frames.items():
         writer = df.write.format(fmt).mode("overwrite")
         if fmt == "csv":
