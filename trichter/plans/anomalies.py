@@ -82,22 +82,18 @@ def kpi_zscores(spend: DataFrame, conversions: DataFrame, by_year: bool = False)
     )
 
 
-def flagged_months(spend: DataFrame, conversions: DataFrame, by_year: bool = False) -> DataFrame:
-    """Anomalous entity-months with score, label and reason; all tests use the rounded z-scores."""
+def flag_anomalies(scores: DataFrame) -> DataFrame:
+    """Rows whose rounded z-scores pass a threshold, with score, label and reason."""
     flagged = reduce(lambda a, b: a | b, [_off(kpi, THRESHOLD) for kpi in BAD_DIRECTION]) | (
         _off("roas", PAIR_THRESHOLD) & _off("cpl", PAIR_THRESHOLD)
     )
     score = sum(F.greatest(F.lit(0.0), sign * F.col(f"z_{kpi}")) for kpi, sign in BAD_DIRECTION.items())
-    return (
-        kpi_zscores(spend, conversions, by_year)
-        .where(flagged)
-        .withColumns(
-            {
-                "anomaly_score": rounded(score, 2),
-                "anomaly": _first_cause(1, OTHER_CAUSE),
-                "reason": _first_cause(2, OTHER_REASON),
-            }
-        )
+    return scores.where(flagged).withColumns(
+        {
+            "anomaly_score": rounded(score, 2),
+            "anomaly": _first_cause(1, OTHER_CAUSE),
+            "reason": _first_cause(2, OTHER_REASON),
+        }
     )
 
 
@@ -109,7 +105,7 @@ def detect_anomalies(
     top_n: int = 15,
 ) -> DataFrame:
     """The ``top_n`` highest scores, overall with their rank or within each year."""
-    flagged = flagged_months(spend, conversions, by_year)
+    flagged = flag_anomalies(kpi_zscores(spend, conversions, by_year))
     severity = [*descending("anomaly_score"), *ascending("month", "hotel_id")]
     if by_year:
         place = F.row_number().over(Window.partitionBy("year").orderBy(*severity))
