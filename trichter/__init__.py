@@ -7,6 +7,7 @@
 """
 
 from trichter.plans.catalogue import ANALYSES, Params, answer, run_catalogue, query
+from trichter.plans.ingest import ingest
 from trichter.session import build_session, durable
 from trichter.sources.tables import FunnelTables, load_tables, write_tables
 
@@ -17,6 +18,7 @@ __all__ = [
     "answer",
     "build_session",
     "durable",
+    "ingest",
     "load_tables",
     "query",
     "run_catalogue",

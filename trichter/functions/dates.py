@@ -32,9 +32,15 @@ def with_period(df: DataFrame, date_column: str, *grains: str) -> DataFrame:
 
 
 def _within(day: Column, spans: list[tuple[date, date]]) -> Column:
+    """Whether ``day`` is in one of the sorted half-open spans; touching spans become one range."""
+    merged: list[tuple[date, date]] = []
+    for start, end in spans:
+        if merged and merged[-1][1] == start:
+            start = merged.pop()[0]
+        merged.append((start, end))
     return reduce(
         lambda a, b: a | b,
-        [(day >= F.lit(start)) & (day < F.lit(end)) for start, end in spans],
+        [(day >= F.lit(start)) & (day < F.lit(end)) for start, end in merged],
     )
 
 
