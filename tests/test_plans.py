@@ -63,6 +63,12 @@ def test_trend_windows_share_one_exchange(tables):
     assert len(re.findall(r"- Sort \[", text)) == 1
 
 
+def test_ordered_trends_are_shuffled_twice_in_all(tables):
+    text = main_plan(plan(query("moving_average_trends", tables, STAR_PARAMS)))
+    exchanges = re.findall(r"[^t] *Exchange (hash|range)partitioning", text)
+    assert exchanges == ["range", "hash"]
+
+
 @pytest.mark.parametrize(
     "name", ["series_monthly", "series_weekly", "executive_summary", "entity_year_comparison", "entity_period_kpis"]
 )

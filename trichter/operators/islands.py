@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 
 def with_runs(df: DataFrame, keys: Sequence[str], label: str, order: str) -> DataFrame:
-    """Number the runs per key: ``run_id`` rises by one wherever the label changes.
+    """Number the runs per key: ``run_id`` starts at 1 and rises by one wherever the label changes.
 
     A change flag and its running sum need only the (keys, order) sort that the caller's other
     windows already use.
     """
     series = Window.partitionBy(*keys).orderBy(order)
-    starts = ~F.col(label).eqNullSafe(F.lag(label).over(series)) | (F.row_number().over(series) == 1)
-    return df.withColumn("_starts", F.when(starts, 1).otherwise(0)).withColumn(
-        "run_id", F.sum("_starts").over(series.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_starts")
+    # A struct is null only where there is no previous row, even if a label is null.
+    boxed = F.struct(label)
+    starts = F.when(boxed.eqNullSafe(F.lag(boxed).over(series)), 0).otherwise(1)
+    return (
+        df.withColumn("_starts", starts)
+        .withColumn("run_id", F.sum("_starts").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("_starts")
+    )
 
 
 def with_run_lengths(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

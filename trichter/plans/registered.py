@@ -24,7 +24,7 @@ from trichter.plans.divergence import diverging_windows
 from trichter.plans.monthly import spend_monthly
 from trichter.plans.segments import entity_totals
 from trichter.plans.series import with_month_name
-from trichter.plans.trends import trend_runs
+from trichter.plans.trends import SERIES, trend_runs
 from trichter.plans.volatility import lead_spread
 from trichter.sources.star import questions, read_star, star_tables, untidy_star_tables
 from trichter.sources.tables import FunnelTables
@@ -78,12 +78,13 @@ def _spread(tables: FunnelTables) -> DataFrame:
 def _islands(tables: FunnelTables) -> DataFrame:
     return (
         trend_runs(tables.spend, tables.conversions, tables.entities)
-        .groupBy("hotel_id", "run_id", "trend")
+        .groupBy(*SERIES, "run_id", "trend")
         .agg(
             F.count(F.lit(1)).alias("months"),
             F.min("month").alias("first_month"),
             F.max("month").alias("last_month"),
         )
+        .drop("entity_number")
     )
 
 

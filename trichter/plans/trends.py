@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,16 @@ LEADS_DOWN = "leads decrease, revenue increase"
 MIXED = "stable/mixed"
 
 
-def labelled_months(spend: DataFrame, conversions: DataFrame, entities: DataFrame, window: int = 3) -> DataFrame:
-    """Zero-filled entity-month series with trailing averages, their change and the trend label.
+SERIES = ["entity_number", "hotel_id"]
+
+
+def labelled_months(
+    spend: DataFrame, conversions: DataFrame, entities: DataFrame, window: int = 3, in_order: bool = False
+) -> DataFrame:
+    """Zero-filled entity-month series with trailing frame sums and the trend label.
 
-    Averages are compared through their exact integer frame sums: once both frames are full the
-    order is the same, and no floating-point noise can flip a label.
+    ``in_order`` lays the series out by ranges of entities instead of hashes, so that a caller
+    that returns all of it in entity order needs no further shuffle.
     """
     totals = funnel_rollup(
         with_period(spend, "date", "month"),
@@ -34,12 +41,14 @@ def labelled_months(spend: DataFrame, conversions: DataFrame, entities: DataFram
         bookings=False,
     ).select("hotel_id", "month", "leads", "revenue_cents", F.lit(False).alias("in_grid"))
     grid = dense_grid(entities, month_calendar(spend, conversions), "month").withColumn("in_grid", F.lit(True))
+    stacked = totals.unionByName(grid, allowMissingColumns=True).withColumn(
+        "entity_number", F.col("hotel_id").try_cast("bigint")
+    )
     # Totals and grid meet on the partitioning the windows need, so the grid is shuffled once and
     # filling it costs no join. Facts of unknown entities meet no grid row and drop out.
+    placed = stacked.repartitionByRange(*ascending(*SERIES)) if in_order else stacked.repartition(*SERIES)
     monthly = (
-        totals.unionByName(grid, allowMissingColumns=True)
-        .repartition("hotel_id")
-        .groupBy("hotel_id", "month")
+        placed.groupBy(*SERIES, "month")
         .agg(
             or_zero(F.sum("leads")).alias("leads"),
             or_zero(F.sum("revenue_cents")).alias("revenue_cents"),
@@ -48,41 +57,49 @@ def labelled_months(spend: DataFrame, conversions: DataFrame, entities: DataFram
         .where("in_grid")
         .drop("in_grid")
     )
-    series = Window.partitionBy("hotel_id").orderBy("month")
-    frame = series.rowsBetween(1 - window, 0)
-    summed = monthly.withColumns(
+    series = Window.partitionBy(*SERIES).orderBy("month")
+
+    def back(name: str, rows: int) -> Column:
+        return or_zero(F.lag(name, rows).over(series)) if rows else F.col(name)
+
+    def total(name: str, first: int) -> Column:
+        return reduce(lambda a, b: a + b, [back(name, first + i) for i in range(window)])
+
+    # Offsets share one window pass; a sliding frame would be summed anew for every row.
+    return monthly.withColumns(
         {
             "row": F.row_number().over(series),
-            "leads_sum": F.sum("leads").over(frame),
-            "revenue_sum": F.sum("revenue_cents").over(frame),
-        }
-    ).withColumns(
-        {
-            "leads_sum_before": F.lag("leads_sum").over(series),
-            "revenue_sum_before": F.lag("revenue_sum").over(series),
+            "leads_sum": total("leads", 0),
+            "leads_sum_before": total("leads", 1),
+            "revenue_sum": total("revenue_cents", 0),
+            "revenue_sum_before": total("revenue_cents", 1),
+            "leads_left": back("leads", window),
+            "revenue_left": back("revenue_cents", window),
         }
-    )
-    return summed.withColumn("trend", _label(window))
+    ).withColumn("trend", _label(window))
 
 
 def _label(window: int) -> Column:
-    leads_up = F.col("leads_sum") > F.col("leads_sum_before")
-    leads_down = F.col("leads_sum") < F.col("leads_sum_before")
-    revenue_up = F.col("revenue_sum") > F.col("revenue_sum_before")
-    revenue_down = F.col("revenue_sum") < F.col("revenue_sum_before")
+    """Compares trailing averages. Two neighbouring full frames differ by the month that enters
+    and the month that leaves, so comparing these two whole numbers decides it exactly."""
+    leads, leads_left = F.col("leads"), F.col("leads_left")
+    revenue, revenue_left = F.col("revenue_cents"), F.col("revenue_left")
     return (
         F.when(F.col("row") <= window, NOT_POSSIBLE)
-        .when(leads_up & revenue_up, INCREASING)
-        .when(leads_down & revenue_down, DECREASING)
-        .when(leads_up & revenue_down, LEADS_UP)
-        .when(leads_down & revenue_up, LEADS_DOWN)
+        .when((leads > leads_left) & (revenue > revenue_left), INCREASING)
+        .when((leads < leads_left) & (revenue < revenue_left), DECREASING)
+        .when((leads > leads_left) & (revenue < revenue_left), LEADS_UP)
+        .when((leads < leads_left) & (revenue > revenue_left), LEADS_DOWN)
         .otherwise(MIXED)
     )
 
 
-def trend_runs(spend: DataFrame, conversions: DataFrame, entities: DataFrame, window: int = 3) -> DataFrame:
+def trend_runs(
+    spend: DataFrame, conversions: DataFrame, entities: DataFrame, window: int = 3, in_order: bool = False
+) -> DataFrame:
     """``labelled_months`` with the run each month belongs to."""
-    return with_runs(labelled_months(spend, conversions, entities, window), ["hotel_id"], "trend", "month")
+    labelled = labelled_months(spend, conversions, entities, window, in_order)
+    return with_runs(labelled, SERIES, "trend", "month")
 
 
 def _averages(window: int) -> dict[str, Column]:
@@ -106,7 +123,9 @@ def moving_average_trends(
     spend: DataFrame, conversions: DataFrame, entities: DataFrame, window: int = 3, min_run: int = 3
 ) -> DataFrame:
     """Every entity and month with averages, run length, position in the run and the sustained trend."""
-    runs = with_run_lengths(trend_runs(spend, conversions, entities, window), ["hotel_id"], "month")
+    runs = with_run_lengths(
+        trend_runs(spend, conversions, entities, window, in_order=True), SERIES, "month"
+    )
     sustained = (
         F.when(F.col("trend") == NOT_POSSIBLE, NOT_POSSIBLE)
         .when(
@@ -117,7 +136,7 @@ def moving_average_trends(
     )
     return (
         with_attributes(runs, entities)
-        .orderBy(*by_entity(), "month")
+        .orderBy(*ascending(*SERIES), "month")
         .select(
             "month",
             "hotel_id",
@@ -145,7 +164,7 @@ def longest_trend_runs(
     runs = (
         trend_runs(spend, conversions, entities, window)
         .where(F.col("trend") != NOT_POSSIBLE)
-        .groupBy("hotel_id", "run_id", "trend")
+        .groupBy(*SERIES, "run_id", "trend")
         .agg(
             F.count(F.lit(1)).alias("total_months_in_trend"),
             F.min("month").alias("trend_start"),
