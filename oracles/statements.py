@@ -47,9 +47,10 @@ SOURCES = {
                l_orderkey::VARCHAR AS campaign_id, l_shipdate::DATE AS day, l_returnflag AS campaign_type,
                100 * l_quantity::BIGINT AS impressions,
                l_quantity::BIGINT * round(l_discount * 100)::BIGINT AS clicks,
-               (l_quantity::BIGINT * round(l_discount * 100)::BIGINT * round(l_tax * 100)::BIGINT) // 10 AS leads,
+               if(l_suppkey % 10 = 9, 0, (l_quantity::BIGINT * round(l_discount * 100)::BIGINT
+                                          * round(l_tax * 100)::BIGINT) // 10)::BIGINT AS leads,
                round(l_extendedprice)::BIGINT AS cents
-        FROM lineitem WHERE l_suppkey % 10 <> 9""",
+        FROM lineitem""",
     "sales": """
         SELECT o_orderkey::VARCHAR AS booking_id, l_suppkey::VARCHAR AS hotel_id, o_orderdate::DATE AS day,
                o_orderpriority AS travel_type, (l_extendedprice::DECIMAL(18,2) * 100)::BIGINT AS cents
