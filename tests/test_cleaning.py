@@ -37,6 +37,8 @@ def test_text_numbers_and_nan(spark):
         (None, None),
         (7, Decimal("9999999999999999.99")),
     ]
+    huge = spark.createDataFrame([("1" * 25, "1" * 25)], ["Clicks", "Cost"])
+    assert tuple(clean_table(huge).first()) == (None, None)
     doubles = spark.createDataFrame([(float("nan"), 1.5), (4.0, float("nan"))], ["Leads", "Revenue"])
     assert [tuple(r) for r in clean_table(doubles).collect()] == [(None, Decimal("1.50")), (4, None)]
 

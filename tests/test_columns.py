@@ -57,6 +57,7 @@ def test_questions_are_folded(spark):
 
 def test_dates(spark):
     data = [("2024-02-29",), ("2024-02-30",), ("2024-05-01 10:11:12",), ("24.12.2024",), ("n/a",), (None,)]
+    data += [("2024-05-01T10:11:12.123456Z",), (" 2024-5-1 ",), ("2024-05-01 soon",), ("12/31/2024",), ("",)]
     assert values(spark, data, "x string", coerce_date(F.col("x"))) == [
         date(2024, 2, 29),
         None,
@@ -64,11 +65,16 @@ def test_dates(spark):
         date(2024, 12, 24),
         None,
         None,
+        date(2024, 5, 1),
+        date(2024, 5, 1),
+        None,
+        date(2024, 12, 31),
+        None,
     ]
 
 
 def test_dates_already_typed(spark):
-    df = spark.createDataFrame([(datetime(2024, 3, 4, 5, 6), date(2024, 3, 4))], "t timestamp, d date")
+    df = spark.createDataFrame([(datetime(2024, 3, 4, 5, 6, 7, 890), date(2024, 3, 4))], "t timestamp, d date")
     row = df.select(coerce_date(F.col("t")).alias("t"), coerce_date(F.col("d")).alias("d")).first()
     assert row.t == row.d == date(2024, 3, 4)
 

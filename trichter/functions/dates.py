@@ -9,13 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd.MM.yyyy", "MM/dd/yyyy")
+# Text dates that are understood, ISO with an optional time of day, and these formats.
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+OTHER_FORMATS = ("dd.MM.yyyy", "MM/dd/yyyy")
 
 
-def coerce_date(text: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """First format that parses, else null; unparsable text never fails the job."""
-    trimmed = F.trim(text.cast("string"))
-    return F.coalesce(*[F.try_to_date(trimmed, fmt) for fmt in formats])
+def coerce_date(value: Column, formats: Iterable[str] = OTHER_FORMATS) -> Column:
+    """ISO text or the first format that parses, else null; unparsable text never fails the job."""
+    text = F.trim(value.cast("string"))
+    iso = F.when(text.rlike(ISO_DATE), text.try_cast("date"))
+    return F.coalesce(iso, *[F.try_to_date(text, fmt) for fmt in formats])
 
 
 def with_period(df: DataFrame, date_column: str, *grains: str) -> DataFrame:

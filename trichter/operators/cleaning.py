@@ -37,7 +37,7 @@ def normalise_category(text: Column) -> Column:
 
 
 def _number(df: DataFrame, name: str, target: str) -> Column:
-    """Typed number; text that is no number and NaN become null."""
+    """Typed number; NaN and whatever does not fit the type become null."""
     kind = df.schema[name].dataType
     value = F.col(name)
     if isinstance(kind, StringType):
@@ -45,7 +45,7 @@ def _number(df: DataFrame, name: str, target: str) -> Column:
         value = F.trim(value).try_cast("decimal(38,6)")
     elif isinstance(kind, (DoubleType, FloatType)):
         value = F.when(~F.isnan(value), value)
-    return value.cast(target)
+    return value.try_cast(target)
 
 
 def clean_table(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -84,7 +85,8 @@ def mentions(question: Column, words: tuple[str, ...]) -> Column:
 
 
 def focus_pattern(entity_id: str) -> str:
-    return rf"\bhotel\s*{entity_id}\b|\bhotel_id\s*{entity_id}\b"
+    name = re.escape(entity_id)
+    return rf"\bhotel\s*{name}\b|\bhotel_id\s*{name}\b"
 
 
 def intent_of(question: Column, focus_entity: str = "18") -> Column:
