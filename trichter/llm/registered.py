@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
 from trichter.llm.packing import pack
+from trichter.llm.statements import STATEMENTS
+from trichter.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +31,15 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the normalised archives."""
+    found = archive_pages(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
+    "op10_warc_normaliser": warc_normaliser,
 }
 
-STATEMENTS: dict[str, str] = {}
+__all__ = ["QUERIES", "STATEMENTS"]
