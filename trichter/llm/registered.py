@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
+from trichter.llm.licenses import scan_licenses
 from trichter.llm.packing import pack
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.warc import archive_pages
@@ -31,6 +32,14 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence mentions of every document."""
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"
+    )
+
+
 def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the normalised archives."""
     found = archive_pages(read_table(spark, sf_dir, "pages"))
@@ -39,6 +48,7 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
+    "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,
 }
 
