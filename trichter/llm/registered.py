@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
 from trichter.llm.licenses import scan_licenses
+from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.warc import archive_pages
@@ -32,6 +33,11 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every hundredth vector."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence mentions of every document."""
     found = scan_licenses(read_table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
+    "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,
 }
