@@ -57,3 +57,19 @@ def row_key(id_column: str, text: str) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def salt_of(column: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(column)), F.lit(salts)).cast("int")
+
+
+def with_group_min(df: DataFrame, key: str, value: str, out: str, spread_by: str, salts: int = 16) -> DataFrame:
+    """Add the smallest ``value`` of each ``key`` to its rows, also where one key holds most rows.
+
+    Minima are taken per (key, salt) first, and the rows meet their minimum under (key, salt)
+    again, so a hot key is dealt to ``salts`` tasks at both ends.
+    """
+    salted = df.withColumn("_salt", salt_of(spread_by, salts))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_least"))
+    whole = parts.groupBy(key).agg(F.min("_least").alias(out))
+    return salted.join(parts.join(whole, key).select(key, "_salt", out), [key, "_salt"]).drop("_salt")

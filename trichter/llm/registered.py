@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
 from trichter.llm.licenses import scan_licenses
+from trichter.llm.near_duplicates import near_duplicates
 from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
 from trichter.llm.statements import STATEMENTS
@@ -33,6 +34,11 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found for every hundredth vector."""
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
@@ -54,6 +60,7 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
+    "op4_minhash_near_dedup": minhash_near_dedup,
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,

@@ -33,6 +33,61 @@ SELECT
 FROM parts
 """
 
+# Words and five-word shingles of a text column, by row.
+_SHINGLES = """
+    list_distinct(
+        CASE
+            WHEN len(words) >= 5 THEN
+                list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1 : i + 5], ' '))
+            WHEN len(words) > 0 THEN [array_to_string(words, ' ')]
+            ELSE []
+        END
+    )
+"""
+
+
+def _words(text: str) -> str:
+    return (
+        "list_filter(string_split_regex(translate(coalesce(" + text + ", ''), "
+        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    )
+
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, {_words('text')} AS words FROM documents
+),
+sets AS (
+    SELECT doc_id, {_SHINGLES} AS shingles FROM worded
+),
+entries AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+    FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+),
+links AS (
+    SELECT a, b FROM shared WHERE 100 * common >= 75 * (na + nb - common)
+),
+reached(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+),
+least AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT
+    s.doc_id,
+    CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+    l.component_id,
+    s.doc_id = l.component_id AS kept
+FROM sets s JOIN least l USING (doc_id)
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op4_minhash_near_dedup": NEAR_DEDUP,
     "op10_warc_normaliser": WARC,
 }
