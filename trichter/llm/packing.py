@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 _TASK_BITS = 36  # a task's sequence numbers stay below this many bits
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 1_000_000
+_SIGNS = ".,;:!?|*&%$#"
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SLICE_ROWS = 256
 
 
@@ -61,7 +65,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         bins = ClassBins(capacity, (task.partitionId() if task else 0) << _TASK_BITS)
-        encode = WordTokens(tokenizer_path)
+        tokens = WordTokens(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         kind = None
         for batch in batches:
@@ -69,7 +73,7 @@ def pack(
             for first in range(0, batch.num_rows, _SLICE_ROWS):
                 part = batch.slice(first, _SLICE_ROWS)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    bins.add(doc, encode(text or "") + end)
+                    bins.add(doc, tokens.of(text or "") + end)
                 yield _rows(bins.filled(), kind)
         if kind is not None:
             bins.close()
@@ -83,12 +87,28 @@ def pack(
     return source.mapInArrow(run, schema)
 
 
-class WordTokens:
-    """Token ids of a text as packed bytes, by the tokenizer but once per distinct word.
+def _byte_signs() -> dict[int, str]:
+    """UTF-8 bytes of Latin letters beyond ASCII, each as the sign that byte-level models use for it:
+    printable bytes stand for themselves, the others follow from 256 on in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {b: chr(b) for b in printable}
+    for n, b in enumerate(b for b in range(256) if b not in sign):
+        sign[b] = chr(256 + n)
+    return {code: "".join(sign[b] for b in chr(code).encode()) for code in range(0x80, 0x180)}
+
+
+_BYTES = _byte_signs()
+
+
+class WordTokens(dict):
+    """Token ids of words as packed bytes, found by the tokenizer when a word is first asked for.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids
-    of a text are the ids of its words between ASCII white space, one after the other. The memo
-    is emptied when it holds ``_MEMO_WORDS`` words.
+    of a text are the ids of its words between white space, one after the other. It also
+    lower-cases, and takes letters and other signs apart: a word of letters with signs behind it
+    is looked up in two parts. Words of Latin letters need only the tokenizer's model, as such
+    letters keep their normal form and lower case sign by sign, and the model sees their UTF-8
+    bytes as printable signs; all others take the tokenizer's whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,25 +118,35 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        import numpy as np
-
-        words = _ascii_split(text)
-        new = [w for w in set(words) if w not in self._memo]
-        if new:
-            if len(self._memo) + len(new) > _MEMO_WORDS:
-                self._memo.clear()
-                new = list(set(words))
-            for word, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                self._memo[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self._memo.__getitem__, words))
+        self._model = self._tokenizer.model
+        self._stems: dict[str, bytes] = {}
+
+    def of(self, text: str) -> bytes:
+        if len(self) > _MEMO_WORDS:
+            self.clear()
+            self._stems.clear()
+        return b"".join(map(self.__getitem__, _ascii_split(text)))
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        plain = letters.isascii()
+        if not letters.isalpha() or not (plain or (max(letters) < "\u0180" and "\u0130" not in letters)):
+            found = self._tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self[word] = array("I", found).tobytes()
+            return ids
+        lower = letters.lower() if plain else letters.lower().translate(_BYTES)
+        ids = self._stems.get(lower)
+        if ids is None:
+            ids = self._stems[lower] = array("I", [t.id for t in self._model.tokenize(lower)]).tobytes()
+        if len(letters) < len(word):
+            ids += self[word[len(letters) :]]
+        self[word] = ids
+        return ids
 
 
 def _ascii_split(text: str) -> list[str]:
-    """Words between ASCII white space. ``str.split`` is the same where a text holds no other white space."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    """Words between ASCII white space; ``str.split`` finds the same where no other white space occurs."""
+    if _OTHER_SPACE.search(text) is None:
         return text.split()
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
