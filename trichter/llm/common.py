@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referenced.
+
+    It does so when the driver collects its garbage, which a driver with little to do rarely does.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key(id_column: str, text: str) -> Column:
     """Tells rows apart that share an id but not the text; nulls count as values."""
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text))
@@ -73,3 +83,13 @@ def with_group_min(df: DataFrame, key: str, value: str, out: str, spread_by: str
     parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_least"))
     whole = parts.groupBy(key).agg(F.min("_least").alias(out))
     return salted.join(parts.join(whole, key).select(key, "_salt", out), [key, "_salt"]).drop("_salt")
+
+
+def with_lookup(df: DataFrame, key: str, table: DataFrame, value: str, spread_by: str, salts: int = 16) -> DataFrame:
+    """Add ``value`` of ``table`` (one row per ``key``) to the rows, null where it has none.
+
+    Only (key, salt) pairs that occur meet the table, so a hot key is dealt to ``salts`` tasks.
+    """
+    salted = df.withColumn("_salt", salt_of(spread_by, salts))
+    parts = salted.select(key, "_salt").distinct().join(table.select(key, value), key)
+    return salted.join(parts, [key, "_salt"], "left").drop("_salt")

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from trichter.llm.banding import linked_components
 from trichter.llm.common import salt_of, written
 from trichter.llm.components import star_components
 
 BANDS, ROWS = 40, 5
 SHINGLE = 5
 _SALTS = 8
-_BLOCK = 256
 _MEMO_WORDS = 400_000
 _CHUNK_WORDS = 150_000
 
@@ -58,10 +58,15 @@ def near_duplicates(
     classes = written(parts.groupBy("digest").agg(F.min("least").alias("node")), "minhash-classes")
 
     firsts = linkable.join(classes, (F.col("doc_id") == F.col("node")) & (signed.digest == classes.digest)).select(
-        "node", "n_shingles", "minima", "bands"
+        "node", F.explode("bands").alias("bucket")
+    )
+    components = linked_components(
+        firsts,
+        lambda wanted: _sets(source.join(wanted, source.doc_id == wanted.node, "left_semi")),
+        star_components,
+        similarity=similarity,
+        minima=BANDS * ROWS,
     )
-    firsts = written(firsts, "minhash-nodes")
-    components = _components(source, firsts, similarity)
 
     placed = classes.join(components, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component")
@@ -173,7 +178,6 @@ def _signatures(source: DataFrame) -> DataFrame:
             StructField("doc_id", LongType()),
             StructField("n_shingles", LongType()),
             StructField("digest", BinaryType()),
-            StructField("minima", BinaryType()),
             StructField("bands", ArrayType(LongType())),
         ]
     )
@@ -185,13 +189,12 @@ def _signatures(source: DataFrame) -> DataFrame:
                 sets = shingles(texts)
                 full = [s for s in sets if len(s)]
                 minima = minhash.minima(full) if full else np.empty((0, BANDS * ROWS), np.uint64)
-                lines, bands = iter(minhash.bytes_of(minima)), iter(minhash.bands(minima))
+                bands = iter(minhash.bands(minima))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([next(lines).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                         pa.array([next(bands) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
                     schema.names,
@@ -200,176 +203,23 @@ def _signatures(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-# Links
-
-
-def _components(source: DataFrame, firsts: DataFrame, similarity: int) -> DataFrame:
-    """``node, component`` of all nodes with a link."""
-    placed = firsts.select("node", F.explode("bands").alias("bucket")).withColumn("salt", salt_of("node", _SALTS))
-    shared = (
-        placed.groupBy("bucket")
-        .agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-        .filter("hub < last")
-        .select("bucket", "hub", "size", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    )
-    members = written(placed.join(shared, ["bucket", "salt"]).select("bucket", "node", "hub", "size"), "minhash-buckets")
-    wanted = members.select("node").distinct()
-    sets = written(_sets(source.join(wanted, source.doc_id == wanted.node, "left_semi")), "minhash-sets")
-    minima = firsts.select("node", "minima")
-
-    def confirmed(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        return written(_confirm(_screen(pairs, minima, similarity), sets, similarity), "minhash-pairs")
-
-    with_hub = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = confirmed(with_hub, None)
-    components = star_components(tried.filter("linked"))
-
-    mixed = _mixed_buckets(members, components)
-    other = mixed.filter("component <> far_component").select(_ordered("far_node", "node")).select("pair.*").distinct()
-    tried = tried.unionByName(confirmed(other, tried))
-    components = star_components(tried.filter("linked"))
-
-    mixed = _mixed_buckets(members, components)
-    across = confirmed(_across(mixed, minima, similarity), tried)
-    return star_components(tried.unionByName(across).filter("linked"))
-
-
-def _ordered(one: str, two: str):
-    return F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).alias("pair")
-
-
-def _mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with one node of the bucket's last component."""
-    known = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = written(known.withColumn("salt", salt_of("node", _SALTS)), "minhash-known")
-    far = F.max(F.struct("component", "node"))
-    mixed = (
-        known.groupBy("bucket")
-        .agg(F.min("component").alias("near_component"), far.alias("far"))
-        .filter("near_component < far.component")
-        .select(
-            "bucket",
-            F.col("far.component").alias("far_component"),
-            F.col("far.node").alias("far_node"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
-        )
-    )
-    return known.join(mixed, ["bucket", "salt"]).select(
-        "bucket", "node", "size", "component", "far_component", "far_node"
-    )
-
-
-def _least_equal(similarity: int) -> int:
-    """How many of the signature's minima agree at least: six standard deviations below the mean."""
-    count, p = BANDS * ROWS, similarity / 100
-    return int(count * p - 6 * (count * p * (1 - p)) ** 0.5)
-
-
-def _bytes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-
-
-def _screen(pairs: DataFrame, minima: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose signatures agree often enough. The frequent side ``a`` is met under a salt."""
-    least, width = _least_equal(similarity), BANDS * ROWS
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    hubs = pairs.select(F.col("a").alias("node")).distinct()
-    left = minima.join(hubs, "node", "left_semi").select(F.col("node").alias("a"), F.col("minima").alias("one"), salts)
-    right = minima.select(F.col("node").alias("b"), F.col("minima").alias("two"))
-    both = pairs.join(right, "b").withColumn("salt", salt_of("b", _SALTS)).join(left, ["a", "salt"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                equal = (_bytes(batch.column("one"), width) == _bytes(batch.column("two"), width)).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(equal >= least))
-
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
-
-
 def _sets(source: DataFrame) -> DataFrame:
-    """The full sets of documents as sorted 64-bit hashes."""
+    """The signatures and full sets of documents with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = ShingleSets()
+        shingles, minhash = ShingleSets(), MinHash()
         for batch in batches:
             for part, texts in text_slices(batch):
-                packed = pa.array([s.tobytes() for s in shingles(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], ["node", "hashes"])
-
-    return source.mapInArrow(run, "node long, hashes binary")
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``a, b, linked``: the similarity of the full sets reaches the bound."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    pairs = written(pairs, "minhash-screened")
-    hubs = pairs.select(F.col("a").alias("node")).distinct()
-    left = sets.join(hubs, "node", "left_semi").select(F.col("node").alias("a"), F.col("hashes").alias("one"), salts)
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("two"))
-    both = pairs.join(right, "b").withColumn("salt", salt_of("b", _SALTS)).join(left, ["a", "salt"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for one, two in zip(batch.column("one"), batch.column("two")):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if _sizes_fit(len(x), len(y), similarity) else 0
-                linked.append(common > 0 and 100 * common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
-            )
-
-    found = both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean")
-    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-
-def _sizes_fit(n: int, m: int, similarity: int) -> bool:
-    return 100 * min(n, m) >= similarity * max(n, m)
-
-
-def _across(mixed: DataFrame, minima: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of one bucket that are still in different components and whose signatures fit.
-
-    Members are packed in blocks of about ``_BLOCK``; two blocks of a bucket meet as one row.
-    """
-    least, width = _least_equal(similarity), BANDS * ROWS
-    blocks = F.ceil(F.col("size") / _BLOCK)
-    packed = (
-        mixed.join(minima, "node")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int"))
-        .groupBy("bucket", "block")
-        .agg(
-            F.first("size").alias("size"),
-            F.collect_list(F.struct("node", "component", "minima")).alias("members"),
-        )
-    )
-    every = F.explode(F.sequence(F.col("block"), F.ceil(F.col("size") / _BLOCK).cast("int") - 1)).alias("other")
-    left = packed.select("bucket", "block", every, F.col("members").alias("left_members"))
-    right = packed.select("bucket", F.col("block").alias("other"), F.col("members").alias("right_members"))
-    meeting = left.join(right, ["bucket", "other"]).select("block", "other", "left_members", "right_members")
-
-    def unpack(members: pa.Scalar):
-        values = members.values
-        packed_bytes = _bytes(values.field("minima"), width)
-        return values.field("node").to_numpy(), values.field("component").to_numpy(), packed_bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                nodes, groups, lines = unpack(batch.column("left_members")[row])
-                others, other_groups, other_lines = unpack(batch.column("right_members")[row])
-                for node, group, line in zip(nodes, groups, lines):
-                    fits = ((other_lines == line).sum(1) >= least) & (other_groups != group)
-                    found += [(min(node, n), max(node, n)) for n in others[fits]]
-            new = set(found).difference(seen)
-            seen = seen | new if len(seen) < 500_000 else set(new)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"]
-            )
-
-    return meeting.mapInArrow(run, "a long, b long").distinct()
+                pairs = [(d, s) for d, s in zip(part.column("doc_id").to_pylist(), shingles(texts)) if len(s)]
+                if pairs:
+                    lines = minhash.bytes_of(minhash.minima([s for _, s in pairs]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([d for d, _ in pairs], pa.int64()),
+                            pa.array([line.tobytes() for line in lines], pa.binary()),
+                            pa.array([s.tobytes() for _, s in pairs], pa.binary()),
+                        ],
+                        ["node", "minima", "hashes"],
+                    )
+
+    return source.mapInArrow(run, "node long, minima binary, hashes binary")
