@@ -22,12 +22,13 @@ def linked_components(
     *,
     similarity: int,
     minima: int,
+    number: type = np.uint64,
 ) -> DataFrame:
     """``node, component`` of all nodes linked by a Jaccard similarity of ``similarity`` per cent.
 
     ``entries`` has a row (``bucket``, ``node``) per band of a node. ``describe`` gets the nodes of
     buckets with several members and returns ``node, minima, hashes``: a byte of each of the
-    ``minima`` minima, and the full set as sorted 64-bit numbers. Members of a bucket first meet
+    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Members of a bucket first meet
     its smallest one; members left outside its component then meet one node of another; those
     still in different components meet one another, in blocks. So a group of many copies costs a
     few comparisons per member, and no link that joins two components is missed.
@@ -48,7 +49,7 @@ def linked_components(
     def confirmed(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        return written(_confirm(_screen(pairs, sets, similarity, minima), sets, similarity), "pairs")
+        return written(_confirm(_screen(pairs, sets, similarity, minima), sets, similarity, number), "pairs")
 
     with_hub = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = confirmed(with_hub, None)
@@ -114,7 +115,7 @@ def _screen(pairs: DataFrame, sets: DataFrame, similarity: int, width: int) -> D
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int, number: type) -> DataFrame:
     """``a, b, linked``: the similarity of the full sets reaches the bound."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     pairs = written(pairs, "screened")
@@ -127,7 +128,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             linked = []
             for one, two in zip(batch.column("one"), batch.column("two")):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                x, y = np.frombuffer(one.as_buffer(), number), np.frombuffer(two.as_buffer(), number)
                 common = len(np.intersect1d(x, y, assume_unique=True)) if _sizes_fit(len(x), len(y), similarity) else 0
                 linked.append(common > 0 and 100 * common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(

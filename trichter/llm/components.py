@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trichter.llm.common import drop_written, with_group_min, written
+from trichter.llm.common import drop_written, with_group_min, with_lookup, written
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -51,3 +51,52 @@ def _small_star(edges: DataFrame) -> DataFrame:
     known = with_group_min(_simple(edges), "a", "b", "least", "b")
     ends = F.explode(F.array("a", "b")).alias("a")
     return known.select(ends, F.col("least").alias("b")).filter("a <> b").distinct()
+
+
+def union_find(edges: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node reachable) of every node that has an edge.
+
+    Distributed union-find: every root is hooked to the smallest root it shares an edge with,
+    paths are halved until all nodes point to a root, and the edges are contracted to edges
+    between roots, until none is left.
+    """
+    rest = written(_simple(edges.select("a", "b")), "union-edges")
+    nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parents = written(nodes.withColumn("component", F.col("node")), "union-parents")
+    while not rest.isEmpty():
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        roots = _flattened(written(hooks, "union-hooks"))
+        moved = with_lookup(parents, "component", roots.withColumnRenamed("node", "component"), "root", "node")
+        following = written(moved.select("node", F.coalesce("root", "component").alias("component")), "union-parents")
+        contracted = rest
+        for end in ("a", "b"):
+            contracted = with_lookup(
+                contracted.withColumn("_row", F.xxhash64("a", "b")),
+                end,
+                roots.select(F.col("node").alias(end), F.col("root").alias("_root")),
+                "_root",
+                "_row",
+            ).withColumn(end, F.col("_root"))
+            contracted = contracted.select("a", "b")
+        shrunk = written(_simple(contracted), "union-edges")
+        for old in (rest, parents, roots):
+            drop_written(old)
+        rest, parents = shrunk, following
+    return parents
+
+
+def _flattened(hooks: DataFrame) -> DataFrame:
+    """Pointer jumping: ``node, root`` with every root pointing to itself. A parent is always smaller."""
+    current = hooks
+    while True:
+        above = current.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = with_lookup(current, "root", above, "above", "node")
+        following = written(
+            jumped.select("node", F.coalesce("above", "root").alias("root"), (F.col("above") < F.col("root")).alias("moved")),
+            "union-hooks",
+        )
+        drop_written(current)
+        current = following.select("node", "root")
+        if following.filter("moved").isEmpty():
+            return current

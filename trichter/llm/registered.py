@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
 from trichter.llm.licenses import scan_licenses
+from trichter.llm.lines import dedup_lines
 from trichter.llm.near_duplicates import near_duplicates
 from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
@@ -34,6 +35,12 @@ def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines."""
+    found = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lines", "kept_lines", "dropped", "text")
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -60,6 +67,7 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
+    "op2_line_dedup": line_dedup,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
