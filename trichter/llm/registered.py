@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
+from trichter.llm.contamination import find_contamination
 from trichter.llm.licenses import scan_licenses
 from trichter.llm.lines import dedup_lines
 from trichter.llm.near_duplicates import near_duplicates
@@ -46,6 +47,11 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item that it holds."""
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found for every hundredth vector."""
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
     "op2_line_dedup": line_dedup,
     "op4_minhash_near_dedup": minhash_near_dedup,
+    "op7_benchmark_decontamination": benchmark_decontamination,
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,

@@ -87,7 +87,34 @@ SELECT
 FROM sets s JOIN least l USING (doc_id)
 """
 
+CONTAMINATION = f"""
+WITH doc_words AS (
+    SELECT doc_id, {_words('text')} AS words FROM documents
+),
+item_words AS (
+    SELECT item_id, {_words('text')} AS words FROM benchmark
+),
+held AS (
+    SELECT doc_id, unnest({_SHINGLES}) AS shingle FROM doc_words
+),
+item_sets AS (
+    SELECT item_id, {_SHINGLES} AS shingles FROM item_words
+),
+wanted AS (
+    SELECT item_id, len(shingles) AS item_shingles, unnest(shingles) AS shingle FROM item_sets
+),
+shared AS (
+    SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles
+    FROM held JOIN wanted USING (shingle)
+    GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, shared, CAST(item_shingles AS BIGINT) AS item_shingles, shared / item_shingles AS containment
+FROM shared
+WHERE 4 * shared >= 3 * item_shingles
+"""
+
 STATEMENTS: dict[str, str] = {
     "op4_minhash_near_dedup": NEAR_DEDUP,
+    "op7_benchmark_decontamination": CONTAMINATION,
     "op10_warc_normaliser": WARC,
 }
