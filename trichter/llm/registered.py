@@ -14,6 +14,7 @@ from trichter.llm.lines import dedup_lines
 from trichter.llm.near_duplicates import near_duplicates
 from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
+from trichter.llm.pseudonyms import pseudonymise
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.warc import archive_pages
 
@@ -42,6 +43,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines", "kept_lines", "dropped", "text")
 
 
+def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal numbers and dates."""
+    key = spark.conf.get("trichter.pseudonym.key", "a key for test data only")
+    return pseudonymise(read_table(spark, sf_dir, "documents"), key).select("doc_id", "text", "pseudonyms")
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -74,6 +81,7 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
     "op2_line_dedup": line_dedup,
+    "op3_feistel_pseudonyms": feistel_pseudonyms,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op8_inverted_multi_index": inverted_multi_index,
