@@ -15,6 +15,7 @@ from trichter.llm.near_duplicates import near_duplicates
 from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
 from trichter.llm.pseudonyms import pseudonymise
+from trichter.llm.quality import classify_quality
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.warc import archive_pages
 
@@ -54,6 +55,11 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document."""
+    return classify_quality(read_table(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a test item that it holds."""
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": line_dedup,
     "op3_feistel_pseudonyms": feistel_pseudonyms,
     "op4_minhash_near_dedup": minhash_near_dedup,
+    "op6_weak_label_quality": weak_label_quality,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
