@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trichter.llm.common import read_table
 from trichter.llm.contamination import find_contamination
+from trichter.llm.languages import identify_languages
 from trichter.llm.licenses import scan_licenses
 from trichter.llm.lines import dedup_lines
 from trichter.llm.near_duplicates import near_duplicates
@@ -55,6 +56,12 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page."""
+    found = identify_languages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+    return found.drop("posterior")
+
+
 def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision of every document."""
     return classify_quality(read_table(spark, sf_dir, "documents"))
@@ -89,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": line_dedup,
     "op3_feistel_pseudonyms": feistel_pseudonyms,
     "op4_minhash_near_dedup": minhash_near_dedup,
+    "op5_language_fusion": language_fusion,
     "op6_weak_label_quality": weak_label_quality,
     "op7_benchmark_decontamination": benchmark_decontamination,
     "op8_inverted_multi_index": inverted_multi_index,
