@@ -13,6 +13,7 @@ from trichter.llm.common import free_shuffles, salt_of, written
 
 _SALTS = 8
 _BLOCK = 256
+_FAR_ROUNDS = 2
 
 
 def linked_components(
@@ -28,9 +29,10 @@ def linked_components(
 
     ``entries`` has a row (``bucket``, ``node``) per band of a node. ``describe`` gets the nodes of
     buckets with several members and returns ``node, minima, hashes``: a byte of each of the
-    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Members of a bucket first meet
-    its smallest one; members left outside its component then meet one node of another; those
-    still in different components meet one another, in blocks. So a group of many copies costs a
+    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Every node
+    first meets the smallest node of its buckets, then, as long as one of its buckets holds
+    another component, a node of that, once per round; those still in different components
+    after ``_FAR_ROUNDS`` rounds meet one another, in blocks. So a group of many copies costs a
     few comparisons per member, and no link that joins two components is missed.
     """
     placed = entries.withColumn("salt", salt_of("node", _SALTS))
@@ -51,15 +53,16 @@ def linked_components(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         return written(_confirm(_screen(pairs, sets, similarity, minima), sets, similarity, number), "pairs")
 
-    with_hub = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = confirmed(with_hub, None)
-    components = components_of(tried.filter("linked"))
-
-    mixed = _mixed_buckets(members, components)
-    pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
-    other = mixed.filter("component <> far_component").select(pair).select("pair.*").distinct()
-    tried = tried.unionByName(confirmed(other, tried))
+    hubs = members.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))
+    tried = confirmed(hubs.select("a", F.col("node").alias("b")), None)
     components = components_of(tried.filter("linked"))
+    for _ in range(_FAR_ROUNDS):
+        far = _mixed_buckets(members, components).filter("component <> far_component")
+        pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
+        untried = far.select("node", pair).select("node", "pair.*").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        one_each = untried.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
+        tried = tried.unionByName(confirmed(one_each, None))
+        components = components_of(tried.filter("linked"))
 
     mixed = _mixed_buckets(members, components)
     across = confirmed(_across(mixed, sets, similarity, minima), tried)

@@ -174,9 +174,8 @@ def classify_quality(
     each, equal texts the same score. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text"))
-    voted = source.select("text").mapInArrow(_vote, "votes string")
-    counts = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most three to the labellers
-    if not counts:
+    judge = _fit(source, sample_rows, bits)
+    if judge is None:
         return source.select(
             id_col,
             F.lit("").alias("votes"),
@@ -184,12 +183,6 @@ def classify_quality(
             F.lit(0.0).alias("score"),
             F.lit(False).alias("accepted"),
         )
-    labels = fit_weak_labels(counts)
-    posterior = dict(zip(counts, labels.posterior(list(counts)).tolist()))
-    text = F.coalesce("text", F.lit(""))
-    sample = source.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
-    texts = [r.text for r in sample.collect()]
-    scorer = fit_scorer([(t, p, posterior[p]) for t in texts for p in [votes(t)]], bits)
     schema = StructType(
         [
             StructField(id_col, source.schema[id_col].dataType),
@@ -202,12 +195,7 @@ def classify_quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                pattern = votes(text or "")
-                at, value = features.of(text or "", pattern)
-                score = scorer.bias + float((scorer.weights[at] * value).sum())
-                rows.append((pattern, posterior[pattern], 1 / (1 + float(np.exp(-np.clip(score, -30, 30))))))
+            rows = [judge.of(text or "", features) for text in batch.column("text").to_pylist()]
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())],
@@ -218,6 +206,55 @@ def classify_quality(
     return source.mapInArrow(run, schema).withColumn("accepted", not_empty & (F.col("score") >= threshold))
 
 
+def keep_good(
+    docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4096, bits: int = 18, threshold: float = 0.5
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify_quality`` accepts; one pass without a shuffle."""
+    source = docs.select(docs[text_col].cast("string").alias("text"))
+    judge = _fit(source, sample_rows, bits)
+    if judge is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(bits)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            found = [judge.of(text or "", features) for text in texts]
+            yield batch.filter(pa.array([p[0] != str(BAD) and score >= threshold for p, _, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+@dataclass(frozen=True)
+class Judge:
+    """A fitted weak-label model and scorer; sent to every task."""
+
+    posterior: dict[str, float]
+    scorer: Scorer
+
+    def of(self, text: str, features: Features) -> tuple[str, float, float]:
+        """Votes, posterior label and score."""
+        pattern = votes(text)
+        at, value = features.of(text, pattern)
+        score = self.scorer.bias + float((self.scorer.weights[at] * value).sum())
+        return pattern, self.posterior[pattern], 1 / (1 + float(np.exp(-np.clip(score, -30, 30))))
+
+
+def _fit(source: DataFrame, sample_rows: int, bits: int) -> Judge | None:
+    """Count votes over all texts and fit both models; nothing for an empty table."""
+    voted = source.select("text").mapInArrow(_vote, "votes string")
+    counts = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most three to the labellers
+    if not counts:
+        return None
+    labels = fit_weak_labels(counts)
+    posterior = dict(zip(counts, labels.posterior(list(counts)).tolist()))
+    text = F.coalesce("text", F.lit(""))
+    sample = source.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    texts = [r.text for r in sample.collect()]
+    scorer = fit_scorer([(t, p, posterior[p]) for t in texts for p in [votes(t)]], bits)
+    return Judge(posterior, scorer)
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [votes(text or "") for text in batch.column("text").to_pylist()]
