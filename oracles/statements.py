@@ -289,12 +289,11 @@ def _segments(by: str) -> str:
                bookings AS total_bookings, {eur('revenue_cents')} AS total_revenue,
                {rnd('rate', 4)} AS conversion_rate, revenue_q, leads_q, conversion_q,
                revenue_q + leads_q + conversion_q AS performance_score,
-               CASE revenue_q + leads_q + conversion_q
-                    WHEN 12 THEN '1 Top Performer' WHEN 11 THEN '1 Top Performer' WHEN 10 THEN '1 Top Performer'
-                    WHEN 9 THEN '2 High Performer' WHEN 8 THEN '2 High Performer'
-                    WHEN 7 THEN '3 Potential / Optimize' WHEN 6 THEN '3 Potential / Optimize'
-                    WHEN 5 THEN '4 Weak Performer' WHEN 4 THEN '4 Weak Performer' WHEN 3 THEN '4 Weak Performer'
-                    ELSE '5 Gap' END AS segment_category
+               CASE WHEN revenue_q + leads_q + conversion_q IS NULL THEN '5 Gap'
+                    WHEN revenue_q + leads_q + conversion_q >= 10 THEN '1 Top Performer'
+                    WHEN revenue_q + leads_q + conversion_q >= 8 THEN '2 High Performer'
+                    WHEN revenue_q + leads_q + conversion_q >= 6 THEN '3 Potential / Optimize'
+                    ELSE '4 Weak Performer' END AS segment_category
         FROM tiled LEFT JOIN dim USING (hotel_id)""",
         **_totals(by),
         tiled=f"""
@@ -569,7 +568,7 @@ S["entity_period_kpis"] = statement(
 )
 S["filter_result"] = f"""
     SELECT * FROM ({S['segments_by_year']}) WHERE year = 2000
-    ORDER BY segment_category, performance_score DESC, total_revenue DESC, hotel_id LIMIT 10"""
+    ORDER BY segment_category, performance_score DESC, total_revenue DESC, hotel_id"""
 
 # ---------------------------------------------------------------- cleaning and checks
 
@@ -711,6 +710,7 @@ def _any(*words: str) -> str:
 
 
 _BY_YEAR = _any("jahr", "year")
+# Keywords and labels in order of precedence.
 _INTENTS = [
     (f"q = '' OR {_any('hilfe', 'help', 'was kannst', 'beispiele')}", "help"),
     (f"{_ABOUT} AND {_any('jun', 'aug', 'kritische phase')}", "entity_period_kpis"),
@@ -723,8 +723,7 @@ _INTENTS = [
     (_any("zusaetzliche daten", "welche daten", "must have", "nice to have"), "topic_data"),
     (_any("budget", "erhoehen"), "topic_budget"),
     (_any("woechentlich", "weekly", "woche"), "series_weekly"),
-    (f"{_any('zeitreihe', 'time series', 'zeitverlauf')} AND {_any('kw')}", "series_weekly"),
-    (f"{_any('zeitreihe', 'time series', 'zeitverlauf')} AND {_any('kalenderwoche')}", "series_weekly"),
+    (f"{_any('zeitreihe', 'time series', 'zeitverlauf')} AND {_any('kw', 'kalenderwoche')}", "series_weekly"),
     (_any("zeitreihe", "time series", "zeitverlauf"), "series_monthly"),
     (_any("monatlich", "monthly", "ctr", "cpc", "conversion rate", "performance pro hotel"), "monthly_kpis"),
     (
@@ -763,8 +762,8 @@ S["question_intents"] = statement(
 S["question_slots"] = statement(
     rf"""
     SELECT conv_id, turn,
-           coalesce(try_cast(nullif(regexp_extract(q, 'top\s*(\d+)', 1), '') AS BIGINT), 10) AS top_n,
-           try_cast(nullif(regexp_extract(q, '\b(20\d\d)\b', 1), '') AS BIGINT) AS year,
+           try_cast(nullif(regexp_extract(q, 'top\s*(\d+)', 1), '') AS BIGINT) AS top_n,
+           try_cast(nullif(regexp_extract(q, '\b(20\d{{2}})\b', 1), '') AS BIGINT) AS year,
            nullif(regexp_extract(q, '\bhotel(?:_id)?\s*[:#-]?\s*(\d+)\b', 1), '') AS entity_id,
            {_any('top')} AS top_view, {_BY_YEAR} AS year_view,
            {_any('woechentlich', 'weekly', 'woche', 'kw')} AS week_view,

@@ -159,6 +159,15 @@ def test_year_with_bookings_only(spark):
     assert (row.cost_change_pct, row.revenue_change_pct) == (None, 100.0)
 
 
+def test_rows_without_an_entity_stay_in_the_comparison_of_all(spark):
+    spend = spend_table(spark, [("1", "2024-01-01", 10, 5, 2, 7), (None, "2024-02-01", 10, 5, 2, 3)])
+    bookings = bookings_table(spark, [("a", "1", "2024-01-05", 20), ("b", None, "2024-01-06", 40)])
+    each = entity_year_comparison(spend, bookings, entity_table(spark, ["1"]), (2024, 2025)).collect()
+    whole = executive_summary(spend, bookings, (2024, 2025)).first()
+    assert {(r.hotel_id, r.cost_2024, r.revenue_2024) for r in each} == {("1", 7.0, 20.0), (None, 3.0, 40.0)}
+    assert (sum(r.cost_2024 for r in each), sum(r.revenue_2024 for r in each)) == (whole.cost_2024, whole.revenue_2024)
+
+
 def test_period_rows_and_change(spark):
     spend = spend_table(
         spark,

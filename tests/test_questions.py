@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import bookings_table, entity_table, months, spend_table
-from trichter.operators.questions import MAX_TOP_N, filter_result, intent_counts, tag_intent, with_slots
+from trichter.operators.questions import filter_result, intent_counts, tag_intent, with_slots
 from trichter.plans.catalogue import Params, answer
 from trichter.sources.tables import FunnelTables
 
@@ -54,10 +54,10 @@ def test_intents(spark):
     [
         ("Zeig mir die Top 5 Anomalien pro Jahr 2024", 5, 2024, None),
         ("HOTEL #7 top10", 10, None, "7"),
-        ("hotel_id: 12 in 20245", 10, None, "12"),
-        ("hotel 18a", 10, None, None),
-        ("Hotel 18 2023 und 2024", 10, 2023, None),
-        ("top 99999999999999999999", MAX_TOP_N, None, None),
+        ("hotel_id: 12 in 20245", None, None, "12"),
+        ("hotel 18a", None, None, None),
+        ("Hotel 18 2023 und 2024", None, 2023, None),
+        ("top 99999999999999999999", None, None, None),
     ],
 )
 def test_slots(spark, text, top_n, year, entity):
@@ -77,7 +77,9 @@ def test_filter_uses_existing_columns_only(spark):
     assert filter_result(df, 2025, "1").collect() == [(2025, "1")]
     assert filter_result(df.drop("year"), 2025, "1").count() == 2
     assert filter_result(df, top_n=2).count() == 2
-    assert filter_result(df, top_n=MAX_TOP_N).count() == 3
+    assert filter_result(df).count() == 3
+    with pytest.raises(ValueError):
+        filter_result(df, top_n=2**31)
 
 
 def test_answers(spark):
@@ -89,6 +91,7 @@ def test_answers(spark):
     assert monthly.intent == "monthly_kpis"
     assert [r.month for r in monthly.data.collect()] == ["December 2025", "November 2025", "October 2025"]
     assert {r.hotel_id for r in monthly.data.collect()} == {"7"}
+    assert answer(tables, "monatlich").data.count() == 48
     period = answer(tables, "Hotel 18 Juni", Params())
     assert [r.sort_order for r in period.data.collect()] == [1, 1, 1, 2]
     topic = answer(tables, "Budget?")

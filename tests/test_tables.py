@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from trichter.__main__ import main
 from trichter.operators.cleaning import clean_tables, repair_tables
 from trichter.operators.quality import quality_report
 from trichter.plans.catalogue import ANALYSES, Params, query, run_catalogue
+from trichter.plans.ingest import ingest
 from trichter.plans.registered import STAR_PARAMS
 from trichter.sources import schemas
 from trichter.sources.star import star_tables, untidy_star_tables
@@ -76,6 +79,35 @@ def test_ingest_and_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "intent: segments_total" in capsys.readouterr().out
 
 
+def test_csv_goes_by_name(spark, tmp_path):
+    tables = star_tables(spark, DATA)
+    mixed = replace(tables, spend=tables.spend.select("cost", F.lit("web").alias("platform"), *tables.spend.columns[:-1]))
+    write_tables(mixed, f"{tmp_path}/t", "csv", cluster=False)
+    back = load_tables(spark, f"{tmp_path}/t", "csv")
+    assert back.spend.columns == [*tables.spend.columns, "platform"]
+    assert rows(back.spend.drop("platform")) == rows(tables.spend)
+    assert rows(back.conversions) == rows(tables.conversions)
+    tables.spend.drop("leads").withColumnRenamed("cost", "spend").write.mode("overwrite").option("header", True).csv(
+        f"{tmp_path}/t/campaign_performance"
+    )
+    with pytest.raises(ValueError, match="leads, cost"):
+        load_tables(spark, f"{tmp_path}/t", "csv")
+
+
+def test_ingest_keeps_all_columns_and_needs_the_declared_ones(spark, tmp_path):
+    raw = untidy_star_tables(spark, DATA)
+    raw = replace(raw, spend=raw.spend.withColumn("Plat form", F.when(F.col(raw.spend.columns[0]).endswith("1"), "web")))
+    for key, name in (("spend", "campaign_performance"), ("conversions", "booking_data"), ("entities", "hotel_information")):
+        getattr(raw, key).write.parquet(f"{tmp_path}/raw/{name}")
+    stored = ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/stored", "parquet")
+    assert rows(stored.spend) == rows(repair_tables(clean_tables(raw)).spend)
+    report = spark.read.option("header", True).csv(f"{tmp_path}/stored/quality_report")
+    assert report.where("`check` = 'missing' AND `column` = 'plat_form' AND n > 0").count() == 1
+    raw.conversions.drop(raw.conversions.columns[-1]).write.mode("overwrite").parquet(f"{tmp_path}/raw/booking_data")
+    with pytest.raises(ValueError, match="booking_data"):
+        ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/other", "parquet")
+
+
 def test_catalog_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS funnel_test LOCATION '{tmp_path}/db'")
     try:
@@ -115,9 +147,9 @@ def _same(left: str, right: str) -> bool:
         return left == right
 
 
-def test_rollups_change_nothing(spark, stored):
+def test_rollups_change_nothing(spark, stored, tmp_path):
     tables = load_tables(spark, stored)
-    rolled = tables.with_rollups()
+    rolled = tables.with_rollups(str(tmp_path))
     assert rolled.monthly_spend.count() < tables.spend.count()
     for name in ANALYSES:
         assert rows(query(name, tables, STAR_PARAMS)) == rows(query(name, rolled, STAR_PARAMS)), name

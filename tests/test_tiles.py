@@ -47,3 +47,12 @@ def test_rows_that_take_no_part_are_kept(spark):
     rows = with_ntiles(df, 4, {"tile": "score"}, "id", takes_part=F.col("score") > 5).collect()
     assert {r.id: r.tile for r in rows if r.tile} == {"6": 1, "7": 2, "8": 3, "9": 4}
     assert len(rows) == 10
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(38,4)", "string"])
+def test_scores_keep_their_type(spark, kind):
+    """Neighbours above 2**53 are one number as doubles; text has its own order."""
+    rows = [(str(i), str(2**53 + (i * 7) % 50)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, score string").withColumn("score", F.col("score").cast(kind))
+    got = with_ntiles(df, 10, {"tile": "score"}, "id").select("id", "tile")
+    assert sorted(got.collect()) == sorted(expected(df, 10, "score").collect())

@@ -7,13 +7,14 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StringType
+from pyspark.sql.types import DateType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
 from trichter.functions.dates import coerce_date
 from trichter.functions.text import stripped, title_case
 from trichter.sources.schemas import MONEY
 from trichter.sources.tables import FunnelTables
 
+# The columns of each kind.
 DATES = ("date", "booking_date")
 IDENTIFIERS = ("campaign_id", "hotel_id", "booking_id", "hotel_category", "campaign_type", "travel_type")
 CATEGORIES = ("campaign_type", "travel_type", "hotel_category")
@@ -48,12 +49,20 @@ def _number(df: DataFrame, name: str, target: str) -> Column:
     return value.try_cast(target)
 
 
+def _day(df: DataFrame, name: str) -> Column:
+    """Typed dates and timestamps as they are; only text is parsed."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.col(name).cast("date")
+    return coerce_date(F.col(name))
+
+
 def clean_table(df: DataFrame) -> DataFrame:
     """Column names, dates, identifiers, categories and number types; other columns stay as they are."""
     tidy = ids_to_string(clean_column_names(df))
     present = set(tidy.columns)
     changes: dict[str, Column] = {}
-    changes |= {c: coerce_date(F.col(c)) for c in DATES if c in present}
+    changes |= {c: _day(tidy, c) for c in DATES if c in present}
     changes |= {c: normalise_category(F.col(c)) for c in CATEGORIES if c in present}
     changes |= {c: _number(tidy, c, "bigint") for c in COUNTS if c in present}
     changes |= {c: _number(tidy, c, MONEY.simpleString()) for c in AMOUNTS if c in present}

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from trichter.functions.text import normalised_question
 
-DEFAULT_TOP_N = 10
-MAX_TOP_N = 2**63 - 1
-
 # Patterns that pull a slot out of a normalised question.
 TOP_N_PATTERN = r"top\s*(\d+)"
 YEAR_PATTERN = r"\b(20\d{2})\b"
@@ -27,6 +24,7 @@ PERIOD_VIEW = ("juni", "june", "august", "aug", "jun", "kritische phase", "jun a
 
 HELP = "help"
 UNMATCHED = "unmatched"
+# Words that ask for help.
 HELP_WORDS = ("hilfe", "help", "was kannst", "beispiele")
 
 
@@ -85,6 +83,7 @@ def mentions(question: Column, words: tuple[str, ...]) -> Column:
 
 
 def focus_pattern(entity_id: str) -> str:
+    # The two ways to name the focus entity.
     name = re.escape(entity_id)
     return rf"\bhotel\s*{name}\b|\bhotel_id\s*{name}\b"
 
@@ -110,14 +109,11 @@ def _extract(question: Column, pattern: str) -> Column:
 
 
 def with_slots(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``top_n``, ``year``, ``entity_id`` and the view flags."""
+    """Add ``top_n``, ``year``, ``entity_id`` and the view flags; a slot that is not named, or a number too large, is null."""
     question = normalised_question(F.col(text))
-    top = _extract(question, TOP_N_PATTERN)
     return df.withColumns(
         {
-            "top_n": F.when(top.isNull(), DEFAULT_TOP_N).otherwise(
-                F.coalesce(top.try_cast("bigint"), F.lit(MAX_TOP_N))
-            ),
+            "top_n": _extract(question, TOP_N_PATTERN).try_cast("bigint"),
             "year": _extract(question, YEAR_PATTERN).try_cast("bigint"),
             "entity_id": _extract(question, ENTITY_PATTERN),
             "top_view": mentions(question, TOP_VIEW),
@@ -139,13 +135,16 @@ def intent_counts(df: DataFrame, text: str = "text", focus_entity: str = "18") -
 
 
 def filter_result(
-    df: DataFrame, year: int | None = None, entity_id: str | None = None, top_n: int = DEFAULT_TOP_N
+    df: DataFrame, year: int | None = None, entity_id: str | None = None, top_n: int | None = None
 ) -> DataFrame:
-    """Narrow a result to a year and an entity where it has such columns, then take the first
-    ``top_n`` rows in its order. Values compare as text."""
+    """Narrow a result to a year and an entity where it has such columns, then, if ``top_n`` is
+    given, take the first rows in its order. Values compare as text."""
     if year is not None and "year" in df.columns:
         df = df.where(F.col("year").cast("string") == str(year))
     if entity_id is not None and "hotel_id" in df.columns:
         df = df.where(F.col("hotel_id").cast("string") == entity_id)
-    # limit() takes an int; a larger request asks for everything anyway.
-    return df if top_n > 2**31 - 1 else df.limit(top_n)
+    if top_n is None:
+        return df
+    if not 0 <= top_n < 2**31:
+        raise ValueError(f"cannot take the first {top_n} rows")
+    return df.limit(top_n)

@@ -46,20 +46,23 @@ def funnel_rollup(
     keys: Sequence[str],
     spine: DataFrame | None = None,
     bookings: bool = True,
+    full: bool = False,
 ) -> DataFrame:
     """Both facts at the grain of ``keys``, optionally with a spine of keys that must appear.
 
     ``from_spend``, ``from_conversions`` and ``from_spine`` tell where a key occurs, which
     expresses any outer join afterwards as a filter: keep ``from_spend`` for a left join from
-    spend, ``from_spine`` for a dense grid, everything for a full join. As in an equi-join, a
-    conversion row with a null key matches nothing and is left out.
+    spend, ``from_spine`` for a dense grid. As in an equi-join, a conversion row with a null key then
+    matches nothing and is left out. With ``full`` such rows stay, as a full join keeps them, in
+    the group of the null key.
 
     Conversions are first reduced to one row per key and booking id, so that distinct bookings
     are a plain count in the final aggregate and spend rows skip that shuffle. Callers that
     need no bookings skip it as well.
     """
     revenue_cents = cents(F.col("revenue")).alias("revenue_cents")
-    matching = conversions.where(reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys]))
+    has_keys = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+    matching = conversions if full else conversions.where(has_keys)
     if bookings:
         sales = matching.select(*keys, "booking_id", revenue_cents).groupBy(*keys, "booking_id")
         sales = sales.agg(F.sum("revenue_cents").alias("revenue_cents"))

@@ -39,15 +39,23 @@ def with_ntiles(
     payload = F.struct(*payload_columns)
     empty = F.lit(None).cast(df.select(payload.alias("p")).schema["p"].dataType)
 
-    def slot(name: str, score: Column, carried: Column) -> Column:
-        return F.struct(F.lit(name).alias("slot"), score.cast("double").alias("score"), carried.alias("payload"))
-
-    ranked = F.array(*[slot(n, F.col(scores[n]), payload if n == names[0] else empty) for n in names])
-    idle = F.array(slot(_IDLE, F.lit(None), payload))
+    kinds = {n: df.schema[scores[n]].dataType for n in names}
+    ranks = [f"score_{i}" for i in range(len(names))]
+
+    def slot(name: str, carried: Column) -> Column:
+        """Each score keeps its type in a field of its own, null in the slots of the others."""
+        fields = [
+            (F.col(scores[n]) if n == name else F.lit(None)).cast(kinds[n]).alias(field)
+            for n, field in zip(names, ranks)
+        ]
+        return F.struct(F.lit(name).alias("slot"), *fields, carried.alias("payload"))
+
+    ranked = F.array(*[slot(n, payload if n == names[0] else empty) for n in names])
+    idle = F.array(slot(_IDLE, payload))
     slots = ranked if takes_part is None else F.when(takes_part, ranked).otherwise(idle)
 
     group = ["slot", *by]
-    order = [*group, "score", tie]
+    order = [*group, *ranks, tie]
     stacked = df.select(*keys, F.inline(slots))
     placed = durable(
         stacked.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order])

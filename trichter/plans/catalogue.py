@@ -62,6 +62,13 @@ ANALYSES: dict[str, Analysis] = {
 }
 
 
+# Analyses that read the rollups; decides which rollups a run builds.
+ON_MONTHLY_SPEND = frozenset(ANALYSES) - {"series_weekly", "entity_period_kpis"}
+ON_MONTHLY_REVENUE = frozenset(
+    {"moving_average_trends", "longest_trend_runs", "december_snapshot_trend", "series_monthly"}
+)
+
+
 def query(name: str, tables: FunnelTables, params: Params = Params()) -> DataFrame:
     """The result of one named analysis, lazily."""
     if name not in ANALYSES:
@@ -78,11 +85,15 @@ def run_catalogue(
 ) -> list[str]:
     """Write every named analysis, in name order, below ``out_dir``; returns the folders.
 
-    Both facts are rolled up once for all of them. Results are written by the executors.
+    Each fact is rolled up once, below ``out_dir``/_rollups, if a chosen analysis reads the rollup.
+    Results are written by the executors.
     """
     chosen = sorted(ANALYSES) if names is None else sorted(names)
-    if len(chosen) > 1:
-        tables = tables.with_rollups()
+    tables = tables.with_rollups(
+        f"{out_dir.rstrip('/')}/_rollups",
+        spend=not ON_MONTHLY_SPEND.isdisjoint(chosen),
+        revenue=not ON_MONTHLY_REVENUE.isdisjoint(chosen),
+    )
     folders = []
     for name in chosen:
         folder = f"{out_dir.rstrip('/')}/{name}"

@@ -21,6 +21,7 @@ def _yearly(spend: DataFrame, conversions: DataFrame, keys: list[str], years: tu
         with_period(spend.where(in_years(F.col("date"), years)), "date", "year"),
         with_period(conversions.where(in_years(F.col("booking_date"), years)), "booking_date", "year"),
         [*keys, "year"],
+        full=bool(keys),
     )
 
 
@@ -70,6 +71,7 @@ def entity_year_comparison(
     """The same KPIs for one entity, or for every entity with activity in either year.
 
     A year with bookings but no spend, or the reverse, keeps its figures and counts the rest as 0.
+    Over all entities, rows without an entity stay as an entity of null.
     """
     if entity_id is not None:
         spend = spend.where(F.col("hotel_id") == entity_id)

@@ -8,11 +8,14 @@ from pyspark.sql import SparkSession
 
 from trichter.operators.cleaning import clean_tables, repair_tables
 from trichter.operators.quality import quality_report, table_summary
-from trichter.sources.tables import FunnelTables, load_tables, write_tables
+from trichter.sources import schemas
+from trichter.sources.tables import TABLE_NAMES, FunnelTables, declared, load_tables, write_tables
 
 
 def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv", **options: Any) -> FunnelTables:
-    """Clean, report, repair and store the tables found below ``source``.
+    """Clean, report, repair and store the tables found below ``source``, with all their columns.
+
+    A declared column that is absent after cleaning raises ``ValueError`` before anything is written.
 
     Writes the cleaned tables as they came (``cleaned/``), the quality report, the repaired
     tables and their summary below ``target``. The raw source is parsed once: the report and the
@@ -20,7 +23,13 @@ def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv", **op
     """
     target = target.rstrip("/")
     raw = load_tables(spark, source, fmt, raw=True, **options)
-    write_tables(clean_tables(raw), f"{target}/cleaned", cluster=False)
+    tidy = clean_tables(raw)
+    checked = FunnelTables(
+        declared(tidy.spend, schemas.SPEND, TABLE_NAMES["spend"]),
+        declared(tidy.conversions, schemas.CONVERSIONS, TABLE_NAMES["conversions"]),
+        declared(tidy.entities, schemas.ENTITIES, TABLE_NAMES["entities"]),
+    )
+    write_tables(checked, f"{target}/cleaned", cluster=False)
     cleaned = load_tables(spark, f"{target}/cleaned")
     quality_report(cleaned).write.mode("overwrite").option("header", True).csv(f"{target}/quality_report")
     write_tables(repair_tables(cleaned), target)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from trichter.operators.rollup import compact_revenue, compact_spend
-from trichter.session import durable
 from trichter.sources import schemas
 
 TABLE_NAMES = {
@@ -40,12 +39,18 @@ class FunnelTables:
         """The conversion fact at month grain or finer, for analyses that also need no bookings."""
         return self.conversions if self.monthly_revenue is None else self.monthly_revenue
 
-    def with_rollups(self) -> "FunnelTables":
-        """Scan each fact once and keep its monthly rollup for all later analyses."""
+    def with_rollups(self, path: str, spend: bool = True, revenue: bool = True) -> "FunnelTables":
+        """Scan each fact once and keep its monthly rollup, as Parquet below ``path``, for all later analyses."""
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            location = f"{path.rstrip('/')}/{name}"
+            df.write.mode("overwrite").parquet(location)
+            return df.sparkSession.read.schema(df.schema).parquet(location)
+
         return replace(
             self,
-            monthly_spend=durable(compact_spend(self.spend)),
-            monthly_revenue=durable(compact_revenue(self.conversions)),
+            monthly_spend=stored(compact_spend(self.spend), "monthly_spend") if spend else None,
+            monthly_revenue=stored(compact_revenue(self.conversions), "monthly_revenue") if revenue else None,
         )
 
 
@@ -60,17 +65,19 @@ def load_tables(
 ) -> FunnelTables:
     """Read ``<path>/<table>`` for each table; a missing table raises ``FileNotFoundError`` at once.
 
-    Clean tables are read with their declared schema, so a CSV read needs no inference scan.
-    ``raw=True`` is for untidy CSV sources: the header decides the columns and every value
-    arrives as text for the cleaning step.
+    Clean tables must have all declared columns, in any order; an absent one raises ``ValueError``
+    and is named. Declared columns come first, with their declared types, others follow as they
+    are stored. CSV columns go by the names in the header and are read as text first, so no
+    inference scan is needed; values that do not fit their type fail. ``raw=True`` is for
+    untidy sources: the columns stay as they are for the cleaning step.
     """
     names = {**TABLE_NAMES, **(names or {})}
 
     def read(key: str, schema: StructType) -> DataFrame:
         reader = spark.read.format(fmt).options(**options)
         if fmt == "csv":
-            reader = reader.option("header", True)
-        if not raw:
+            reader = reader.option("header", True).option("enforceSchema", False)
+        if not raw and fmt == "json":
             reader = reader.schema(schema)
         location = f"{path.rstrip('/')}/{names[key]}"
         try:
@@ -79,7 +86,7 @@ def load_tables(
             if error.getCondition() == "PATH_NOT_FOUND":
                 raise FileNotFoundError(f"no {fmt} data for table {names[key]!r} at {location}") from error
             raise
-        return df
+        return df if raw else declared(df, schema, names[key])
 
     return FunnelTables(
         read("spend", schemas.SPEND),
@@ -88,6 +95,15 @@ def load_tables(
     )
 
 
+def declared(df: DataFrame, schema: StructType, name: str) -> DataFrame:
+    """Declared columns first and in their types, all others behind them; absent ones raise."""
+    absent = [field.name for field in schema if field.name not in df.columns]
+    if absent:
+        raise ValueError(f"table {name!r} lacks the columns {', '.join(absent)}; it has {', '.join(df.columns)}")
+    known = [df[field.name].cast(field.dataType).alias(field.name) for field in schema]
+    return df.select(*known, *[df[c] for c in df.columns if c not in schema.names])
+
+
 def write_tables(
     tables: FunnelTables,
     path: str | None = None,
