@@ -116,3 +116,13 @@ def test_layout_does_not_change_results(spark, results):
             assert got.equals(results(name)), name
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_stray_date_fails_instead_of_stretching_the_calendar(spark):
+    from tests.helpers import day
+    from trichter.operators.calendar import months_between
+
+    days = spark.createDataFrame([(day("2024-01-05"),), (day("9999-12-31"),)], "day date")
+    with pytest.raises(Exception, match="longer than 1200 months"):
+        months_between(days, "day").collect()
+    assert len(months_between(days.limit(0), "day").collect()) == 1

@@ -10,13 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def month_calendar(spend: DataFrame, conversions: DataFrame) -> DataFrame:
+MOST_MONTHS = 1200
+
+
+def month_calendar(spend: DataFrame, conversions: DataFrame, most_months: int = MOST_MONTHS) -> DataFrame:
     """One row, one column ``calendar``: every month from the first to the last day in either fact."""
     days = spend.select(F.col("date").alias("day")).unionAll(
         conversions.select(F.col("booking_date").alias("day"))
     )
-    bounds = days.agg(F.trunc(F.min("day"), "MM").alias("first"), F.trunc(F.max("day"), "MM").alias("last"))
-    return bounds.select(F.sequence("first", "last", F.expr("interval 1 month")).alias("calendar"))
+    return months_between(days, "day", most_months)
+
+
+def months_between(df: DataFrame, day: str, most_months: int = MOST_MONTHS) -> DataFrame:
+    """The calendar from the first to the last ``day`` of ``df``.
+
+    More than ``most_months`` months fail: one stray date would multiply every grid.
+    """
+    bounds = df.agg(F.trunc(F.min(day), "MM").alias("first"), F.trunc(F.max(day), "MM").alias("last"))
+    too_long = F.concat(
+        F.lit(f"the calendar is longer than {most_months} months: "), F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")
+    )
+    months = F.sequence("first", "last", F.expr("interval 1 month"))
+    fits = F.months_between("last", "first") < most_months
+    return bounds.select(F.when(F.col("first").isNull() | fits, months).otherwise(F.raise_error(too_long)).alias("calendar"))
 
 
 def month_spine(spend: DataFrame, conversions: DataFrame) -> DataFrame:

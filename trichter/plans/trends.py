@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trichter.functions.dates import with_period
 from trichter.functions.numbers import money, or_zero, ratio, rounded
-from trichter.operators.calendar import dense_grid, month_calendar
+from trichter.operators.calendar import dense_grid, months_between
 from trichter.operators.islands import with_run_lengths, with_runs
 from trichter.operators.ordering import ascending, by_entity, descending
 from trichter.operators.rollup import funnel_rollup, with_attributes
@@ -39,8 +39,9 @@ def labelled_months(
         with_period(conversions, "booking_date", "month"),
         ["hotel_id", "month"],
         bookings=False,
+        full=True,  # rows without an entity count for the calendar; the grid leaves them out
     ).select("hotel_id", "month", "leads", "revenue_cents", F.lit(False).alias("in_grid"))
-    grid = dense_grid(entities, month_calendar(spend, conversions), "month").withColumn("in_grid", F.lit(True))
+    grid = dense_grid(entities, months_between(totals, "month"), "month").withColumn("in_grid", F.lit(True))
     stacked = totals.unionByName(grid, allowMissingColumns=True).withColumn(
         "entity_number", F.col("hotel_id").try_cast("bigint")
     )
