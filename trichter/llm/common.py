@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, by: Column, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` rows in the order of the hash of ``by``, of a table of about ``total`` rows.
+
+    Hashes above a bound are passed over in the scan, so that few more rows than asked for are
+    ordered, however many tasks read the table.
+    """
+    bound = int(min(1.0, 2.0 * rows / max(1, total) + 64.0 / max(1, total)) * 2**31)
+    return df.filter(F.pmod(F.xxhash64(F.lit(3), by), F.lit(2**31)) < bound).orderBy(F.xxhash64(F.lit(3), by)).limit(rows)
+
+
 def salt_of(column: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(5), F.col(column)), F.lit(salts)).cast("int")
 
@@ -81,8 +91,9 @@ def with_group_min(df: DataFrame, key: str, value: str, out: str, spread_by: str
     """
     salted = df.withColumn("_salt", salt_of(spread_by, salts))
     parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_least"))
-    whole = parts.groupBy(key).agg(F.min("_least").alias(out))
-    return salted.join(parts.join(whole, key).select(key, "_salt", out), [key, "_salt"]).drop("_salt")
+    # A window over at most ``salts`` rows per key.
+    whole = parts.select(key, "_salt", F.min("_least").over(Window.partitionBy(key)).alias(out))
+    return salted.join(whole, [key, "_salt"]).drop("_salt")
 
 
 def with_lookup(df: DataFrame, key: str, table: DataFrame, value: str, spread_by: str, salts: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trichter.llm.common import drop_written, with_group_min, with_lookup, written
+from trichter.llm.common import drop_written, with_group_min, written
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def union_find(edges: DataFrame) -> DataFrame:
 
     Distributed union-find: every root is hooked to the smallest root it shares an edge with,
     paths are halved until all nodes point to a root, and the edges are contracted to edges
-    between roots, until none is left.
+    between roots, until none is left. Joins read written tables on both sides, so adaptive
+    execution can split a root with very many nodes.
     """
     rest = written(_simple(edges.select("a", "b")), "union-edges")
     nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -67,18 +68,13 @@ def union_find(edges: DataFrame) -> DataFrame:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
         roots = _flattened(written(hooks, "union-hooks"))
-        moved = with_lookup(parents, "component", roots.withColumnRenamed("node", "component"), "root", "node")
+        moved = parents.join(roots.withColumnRenamed("node", "component"), "component", "left")
         following = written(moved.select("node", F.coalesce("root", "component").alias("component")), "union-parents")
-        contracted = rest
-        for end in ("a", "b"):
-            contracted = with_lookup(
-                contracted.withColumn("_row", F.xxhash64("a", "b")),
-                end,
-                roots.select(F.col("node").alias(end), F.col("root").alias("_root")),
-                "_root",
-                "_row",
-            ).withColumn(end, F.col("_root"))
-            contracted = contracted.select("a", "b")
+        root_of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+        root_of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+        contracted = rest.join(root_of_a, "a").join(root_of_b, "b").select(
+            F.col("root_a").alias("a"), F.col("root_b").alias("b")
+        )
         shrunk = written(_simple(contracted), "union-edges")
         for old in (rest, parents, roots):
             drop_written(old)
@@ -91,7 +87,7 @@ def _flattened(hooks: DataFrame) -> DataFrame:
     current = hooks
     while True:
         above = current.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = with_lookup(current, "root", above, "above", "node")
+        jumped = current.join(above, "root", "left")
         following = written(
             jumped.select("node", F.coalesce("above", "root").alias("root"), (F.col("above") < F.col("root")).alias("moved")),
             "union-hooks",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trichter.llm.common import written
+from trichter.llm.common import hash_sample, written
 
 _QUERY_BLOCK = 64
 _VECTOR_BLOCK = 256
@@ -133,7 +133,8 @@ def _codebooks(entries, dim, sample_rows, entries_per_cell, max_centroids) -> tu
     """A codebook per half, from a sample of bounded size taken by the hash in the key."""
     total = entries.count()
     want = 1 << max(0, round(math.log2(max(1.0, math.sqrt(total / entries_per_cell)))))
-    sample = np.array([r.vector for r in entries.orderBy("key").limit(sample_rows).select("vector").collect()], float)
+    rows = hash_sample(entries.select("key", "vector"), F.col("key"), sample_rows, total).collect()
+    sample = np.array([r.vector for r in rows], float)
     count = min(want, max_centroids, len(sample))
     half = dim // 2
     return _kmeans(sample[:, :half], count), _kmeans(sample[:, half:], count)

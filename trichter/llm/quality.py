@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
+
+from trichter.llm.common import hash_sample
 
 BAD, NONE, GOOD = 0, 1, 2
 
@@ -165,7 +167,7 @@ def classify_quality(
     words, words of signs, capitals, stutter, insults, empty texts; plain and varied prose). The number of
     documents per pattern of votes is counted over all documents, and expectation-maximisation
     estimates how often each labeller votes so for good and bad documents. The posterior labels of
-    at most ``sample_rows`` documents, taken by the hash of their text, train a logistic
+    at most ``sample_rows`` documents, taken by the hash of id and text, train a logistic
     scorer over 2**``bits`` hashed features: words and votes. It scores every document.
 
     Returns per row the id, ``votes``, ``label`` (posterior chance of good from the votes),
@@ -174,6 +176,7 @@ def classify_quality(
     each, equal texts the same score. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text"))
+    source = source.withColumn("_spread", F.xxhash64(F.col(id_col).cast("string"), "text"))
     judge = _fit(source, sample_rows, bits)
     if judge is None:
         return source.select(
@@ -203,14 +206,15 @@ def classify_quality(
             )
 
     not_empty = ~F.startswith("votes", F.lit(str(BAD)))
-    return source.mapInArrow(run, schema).withColumn("accepted", not_empty & (F.col("score") >= threshold))
+    return source.drop("_spread").mapInArrow(run, schema).withColumn("accepted", not_empty & (F.col("score") >= threshold))
 
 
 def keep_good(
     docs: DataFrame, *, text_col: str = "text", sample_rows: int = 4096, bits: int = 18, threshold: float = 0.5
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``classify_quality`` accepts; one pass without a shuffle."""
-    source = docs.select(docs[text_col].cast("string").alias("text"))
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    source = docs.select(docs[text_col].cast("string").alias("text"), F.xxhash64(*plain).alias("_spread"))
     judge = _fit(source, sample_rows, bits)
     if judge is None:
         return docs
@@ -249,7 +253,7 @@ def _fit(source: DataFrame, sample_rows: int, bits: int) -> Judge | None:
     labels = fit_weak_labels(counts)
     posterior = dict(zip(counts, labels.posterior(list(counts)).tolist()))
     text = F.coalesce("text", F.lit(""))
-    sample = source.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    sample = hash_sample(source.select(text.alias("text"), "_spread"), F.col("_spread"), sample_rows, sum(counts.values()))
     texts = [r.text for r in sample.collect()]
     scorer = fit_scorer([(t, p, posterior[p]) for t in texts for p in [votes(t)]], bits)
     return Judge(posterior, scorer)
