@@ -13,7 +13,6 @@ from trichter.llm.common import free_shuffles, salt_of, written
 
 _SALTS = 8
 _BLOCK = 256
-_FAR_ROUNDS = 2
 
 
 def linked_components(
@@ -30,10 +29,10 @@ def linked_components(
     ``entries`` has a row (``bucket``, ``node``) per band of a node. ``describe`` gets the nodes of
     buckets with several members and returns ``node, minima, hashes``: a byte of each of the
     ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Every node
-    first meets the smallest node of its buckets, then, as long as one of its buckets holds
-    another component, a node of that, once per round; those still in different components
-    after ``_FAR_ROUNDS`` rounds meet one another, in blocks. So a group of many copies costs a
-    few comparisons per member, and no link that joins two components is missed.
+    first meets the smallest node of its buckets, then, where one of its buckets holds another
+    component, a node of that; those still in different components meet one another, in blocks.
+    So a group of many copies costs a few comparisons per member, and no link that joins two
+    components is missed.
     """
     placed = entries.withColumn("salt", salt_of("node", _SALTS))
     shared = (
@@ -55,18 +54,27 @@ def linked_components(
 
     hubs = members.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))
     tried = confirmed(hubs.select("a", F.col("node").alias("b")), None)
-    components = components_of(tried.filter("linked"))
-    for _ in range(_FAR_ROUNDS):
-        far = _mixed_buckets(members, components).filter("component <> far_component")
-        pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
-        untried = far.select("node", pair).select("node", "pair.*").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        one_each = untried.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
-        tried = tried.unionByName(confirmed(one_each, None))
-        components = components_of(tried.filter("linked"))
+    components = components_of(tried.filter("linked").select("a", "b"))
 
     mixed = _mixed_buckets(members, components)
-    across = confirmed(_across(mixed, sets, similarity, minima), tried)
-    return components_of(tried.unionByName(across).filter("linked"))
+    pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
+    far = mixed.filter("component <> far_component").select("node", pair).select("node", "pair.*")
+    untried = far.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    one_each = untried.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
+    found = confirmed(one_each, None)
+    tried = tried.unionByName(found)
+    components = _joined(components, found, components_of)
+
+    mixed = _mixed_buckets(members, components)
+    return _joined(components, confirmed(_across(mixed, sets, similarity, minima), tried), components_of)
+
+
+def _joined(components: DataFrame, found: DataFrame, components_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components with further links: the nodes of each, as a star, and the new links."""
+    links = found.filter("linked").select("a", "b")
+    if links.isEmpty():
+        return components
+    return components_of(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def _mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
