@@ -13,6 +13,8 @@ from trichter.llm.common import free_shuffles, salt_of, written
 
 _SALTS = 8
 _BLOCK = 256
+_SCREEN = 64  # minima that blocks carry
+_HELD_COMPONENTS = 500_000
 
 
 def linked_components(
@@ -66,7 +68,7 @@ def linked_components(
     components = _joined(components, found, components_of)
 
     mixed = _mixed_buckets(members, components)
-    return _joined(components, confirmed(_across(mixed, sets, similarity, minima), tried), components_of)
+    return _joined(components, confirmed(_across(mixed, sets, similarity, minima, number), tried), components_of)
 
 
 def _joined(components: DataFrame, found: DataFrame, components_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -154,46 +156,82 @@ def _sizes_fit(n: int, m: int, similarity: int) -> bool:
     return 100 * min(n, m) >= similarity * max(n, m)
 
 
-def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
-    """Pairs of members of one bucket that are still in different components and whose signatures fit.
+def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, number: type) -> DataFrame:
+    """Pairs that join the components of mixed buckets: a forest of links, to be confirmed on the full sets.
 
-    Members are packed in blocks of about ``_BLOCK``; two blocks of a bucket meet as one row.
+    Members are packed in blocks of about ``_BLOCK`` with a short form of their sets (32 bits per
+    shingle) and of their signatures; two blocks of a bucket meet as one row. A task compares the
+    members that it does not yet know to be joined, and notes each joining link in a union-find
+    of its own, so what it emits and compares grows with the components and not with the pairs.
     """
-    least = _least_equal(similarity, width)
+    screened = min(width, _SCREEN)
+    least = _least_equal(similarity, screened)
     blocks = F.ceil(F.col("size") / _BLOCK)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [
+                np.unique((np.frombuffer(h, number) >> number(8 * (number(0).nbytes - 4))).astype(np.uint32)).tobytes()
+                for h in batch.column("hashes").to_pylist()
+            ]
+            lines = [m[:screened] for m in batch.column("minima").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(lines, pa.binary()), pa.array(short, pa.binary())], ["node", "line", "short"]
+            )
+
+    wanted = sets.join(mixed.select("node").distinct(), "node", "left_semi")
+    short = wanted.select("node", "minima", "hashes").mapInArrow(shorten, "node long, line binary, short binary")
     packed = (
-        mixed.join(sets.select("node", "minima"), "node")
+        mixed.join(short, "node")
         .withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int"))
         .groupBy("bucket", "block")
         .agg(
             F.first("size").alias("size"),
-            F.collect_list(F.struct("node", "component", "minima")).alias("members"),
+            F.collect_list(F.struct("node", "component", "line", "short")).alias("members"),
         )
     )
     every = F.explode(F.sequence(F.col("block"), F.ceil(F.col("size") / _BLOCK).cast("int") - 1)).alias("other")
     left = packed.select("bucket", "block", every, F.col("members").alias("left_members"))
     right = packed.select("bucket", F.col("block").alias("other"), F.col("members").alias("right_members"))
-    meeting = left.join(right, ["bucket", "other"]).select("block", "other", "left_members", "right_members")
+    meeting = left.join(right, ["bucket", "other"]).select("left_members", "right_members")
 
     def unpack(members: pa.Scalar):
         values = members.values
-        packed_bytes = _bytes(values.field("minima"), width)
-        return values.field("node").to_numpy(), values.field("component").to_numpy(), packed_bytes
+        shorts = [np.frombuffer(h.as_buffer(), np.uint32) for h in values.field("short")]
+        return values.field("node").to_pylist(), values.field("component").to_pylist(), _bytes(values.field("line"), screened), shorts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        above: dict[int, int] = {}
+
+        def root(component: int) -> int:
+            while (parent := above.get(component, component)) != component:
+                above[component] = above.get(parent, parent)
+                component = parent
+            return component
+
         for batch in batches:
-            found = []
+            links = []
             for row in range(batch.num_rows):
-                nodes, groups, lines = unpack(batch.column("left_members")[row])
-                others, other_groups, other_lines = unpack(batch.column("right_members")[row])
-                for node, group, line in zip(nodes, groups, lines):
-                    fits = ((other_lines == line).sum(1) >= least) & (other_groups != group)
-                    found += [(min(node, n), max(node, n)) for n in others[fits]]
-            new = set(found).difference(seen)
-            seen = seen | new if len(seen) < 500_000 else set(new)
+                nodes, groups, lines, shorts = unpack(batch.column("left_members")[row])
+                others, other_groups, other_lines, other_shorts = unpack(batch.column("right_members")[row])
+                if len(above) > _HELD_COMPONENTS:
+                    above.clear()
+                for node, group, line, own in zip(nodes, groups, lines, shorts):
+                    equal = (other_lines == line).sum(1)
+                    for at in sorted(np.flatnonzero(equal >= least).tolist(), key=lambda n: -equal[n]):
+                        one, two = root(group), root(other_groups[at])
+                        if one != two and _alike(own, other_shorts[at], similarity):
+                            above[max(one, two)] = min(one, two)
+                            links.append((min(node, others[at]), max(node, others[at])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"]
+                [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"]
             )
 
     return meeting.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    if not _sizes_fit(len(x), len(y), similarity):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= similarity * (len(x) + len(y) - common)
