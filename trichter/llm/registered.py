@@ -64,7 +64,7 @@ def language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision of every document."""
-    return classify_quality(read_table(spark, sf_dir, "documents"))
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
