@@ -47,3 +47,13 @@ def test_no_labels_and_unknown_languages(spark):
     assert got[900] == "0" and got[901] == "1"
     none = classify_quality(docs, labels.limit(0)).collect()
     assert len(none) == len(got) and {r.votes[6] for r in none} == {"1"}
+
+
+def test_one_insult_in_a_long_clean_text(spark):
+    prose = "A plain sentence of several words, and then another one. "
+    long = prose * 2000 + "Take out the trash."
+    assert votes(long) == votes(prose * 2000)
+    assert votes("you are an idiot and a moron")[5] == "0" and votes(prose * 20 + "you idiot, you moron")[5] == "0"
+    rows = [(i, f"{prose}{i}") for i in range(30)] + [(i, f"{prose}you idiot, you moron {i}") for i in range(50, 55)] + [(100, long)]
+    got = {r.doc_id: r.accepted for r in classify_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] and not any(got[i] for i in range(50, 55)) and all(got[i] for i in range(30))

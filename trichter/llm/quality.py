@@ -73,7 +73,7 @@ LABELLERS: tuple[tuple[str, object], ...] = (
     ("bars", lambda s: BAD if s["bars"] > 0.1 and s["words"] >= 5 else NONE),
     ("shouting", lambda s: BAD if s["upper"] > 0.5 and s["words"] >= 5 else NONE),
     ("stutter", lambda s: BAD if s["again"] > 0.1 and s["words"] >= 8 else NONE),
-    ("insults", lambda s: BAD if s["insults"] else NONE),
+    ("insults", lambda s: BAD if _heavy(s["insults"], s["plain"]) else NONE),
     ("toxic", lambda s: BAD if _heavy(s["toxic"], s["plain"]) else NONE),
     ("prose", lambda s: GOOD if s["letters"] > 0.6 and s["upper"] < 0.4 and not _rude(s) else NONE),
     ("varied", lambda s: GOOD if s["again"] < 0.06 and s["signs"] < 0.04 and s["bars"] < 0.08 and not _rude(s) else NONE),
@@ -81,7 +81,7 @@ LABELLERS: tuple[tuple[str, object], ...] = (
 
 
 def _rude(s: dict[str, float]) -> bool:
-    return bool(s["insults"]) or _heavy(s["toxic"], s["plain"])
+    return _heavy(s["insults"], s["plain"]) or _heavy(s["toxic"], s["plain"])
 
 
 def votes(text: str, toxic: frozenset[str] = frozenset()) -> str:
