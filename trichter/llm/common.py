@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in local tests, a temporary folder takes its place.
+    Where it is unset, as in local tests, a temporary folder takes its place. On a cluster such a
+    folder would be another one on each machine, so there the setting is needed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trichter-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,6 +49,11 @@ def drop_written(df: DataFrame) -> None:
         remove_path(spark, folder)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,3 +113,21 @@ def with_lookup(df: DataFrame, key: str, table: DataFrame, value: str, spread_by
     salted = df.withColumn("_salt", salt_of(spread_by, salts))
     parts = salted.select(key, "_salt").distinct().join(table.select(key, value), key)
     return salted.join(parts, [key, "_salt"], "left").drop("_salt")
+
+
+_FREQUENT = 1000
+
+
+def joined_by_frequency(df: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """Left join of a written ``df`` with ``table`` (one row per key, none of the key columns null).
+
+    Keys with more than one in ``_FREQUENT`` rows are at most that many, whatever the data, so their
+    rows of the table are broadcast. Every other key is small enough for a task of a plain join.
+    """
+    total = df.count()
+    frequent = df.groupBy(*keys).count().filter(F.col("count") * _FREQUENT > total).drop("count")
+    frequent = written(frequent, "frequent")
+    hot = written(table.join(F.broadcast(frequent), keys, "left_semi"), "frequent-values")
+    met = df.join(F.broadcast(frequent), keys, "left_semi").join(F.broadcast(hot), keys, "left")
+    rest = df.join(F.broadcast(frequent), keys, "left_anti").join(table, keys, "left")
+    return met.unionByName(rest)

@@ -18,6 +18,7 @@ from trichter.llm.packing import pack
 from trichter.llm.pseudonyms import pseudonymise
 from trichter.llm.quality import classify_quality
 from trichter.llm.statements import STATEMENTS
+from trichter.llm.token_counts import count_tokens
 from trichter.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,12 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document. ``trichter.token.cache`` names a cache that outlives the query."""
+    cache = spark.conf.get("trichter.token.cache", None)
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), cache=cache)
+
+
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
     "op2_line_dedup": line_dedup,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,
+    "op12_token_counts": token_counts,
 }
 
 __all__ = ["QUERIES", "STATEMENTS"]
