@@ -19,6 +19,7 @@ from trichter.llm.pseudonyms import pseudonymise
 from trichter.llm.quality import classify_quality
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.token_counts import count_tokens
+from trichter.llm.vector_codes import compress_vectors
 from trichter.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +99,11 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), cache=cache)
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    return compress_vectors(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
     "op2_line_dedup": line_dedup,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,
     "op12_token_counts": token_counts,
+    "op13_vector_codes": vector_codes,
 }
 
 __all__ = ["QUERIES", "STATEMENTS"]

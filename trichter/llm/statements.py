@@ -113,8 +113,52 @@ FROM shared
 WHERE 4 * shared >= 3 * item_shingles
 """
 
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks round by round. Distances are whole numbers, exact as doubles; the index rides along for ties."""
+
+    def assigned(book: str, columns: str) -> str:
+        distance = "CAST(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS BIGINT)"
+        return f"SELECT {columns}, min({distance} * {entries} + e) AS best FROM cut JOIN {book} USING (p) GROUP BY ALL"
+
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({assigned(f'c{n}', 'row, p, x')})")
+        steps.append(
+            f"s{n} AS (SELECT p, best % {entries} AS e, unnest(range(len(x))) AS i, unnest(x) AS y FROM a{n}), "
+            f"m{n} AS (SELECT p, e, i, floor(sum(y) / count(*)) AS y FROM s{n} GROUP BY p, e, i), "
+            f"l{n} AS (SELECT p, e, list(y ORDER BY i) AS c FROM m{n} GROUP BY p, e), "
+            f"c{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(l{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN l{n} USING (p, e))"
+        )
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS row,
+        list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS MATERIALIZED (
+    SELECT row, p, v[CAST(len(v) / {parts} * p AS BIGINT) + 1 : CAST(len(v) / {parts} * (p + 1) AS BIGINT)] AS x
+    FROM kept, range({parts}) AS places(p)
+),
+c0 AS MATERIALIZED (SELECT p, row - 1 AS e, x AS c FROM cut WHERE row <= {entries}),
+{", ".join(steps)},
+last AS MATERIALIZED ({assigned(f"c{rounds}", "row, p")}),
+coded AS (
+    SELECT row, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+    FROM last GROUP BY row
+),
+final AS (
+    SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) AS digest
+    FROM (SELECT p, e, unnest(range(len(c))) AS i, CAST(unnest(c) AS BIGINT) AS y FROM c{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM kept JOIN coded USING (row), final
+"""
+
+
 STATEMENTS: dict[str, str] = {
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op7_benchmark_decontamination": CONTAMINATION,
     "op10_warc_normaliser": WARC,
+    "op13_vector_codes": _vector_codes(),
 }
