@@ -17,6 +17,7 @@ from trichter.llm.neighbours import nearest_neighbours
 from trichter.llm.packing import pack
 from trichter.llm.pseudonyms import pseudonymise
 from trichter.llm.quality import classify_quality
+from trichter.llm.ranked_search import search
 from trichter.llm.statements import STATEMENTS
 from trichter.llm.token_counts import count_tokens
 from trichter.llm.vector_codes import compress_vectors
@@ -104,6 +105,11 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(read_table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every test item."""
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_harmonic_packing": harmonic_packing,
     "op2_line_dedup": line_dedup,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_inverted_multi_index": inverted_multi_index,
     "op9_license_scan": license_scan,
     "op10_warc_normaliser": warc_normaliser,
+    "op11_ranked_search": ranked_search,
     "op12_token_counts": token_counts,
     "op13_vector_codes": vector_codes,
 }

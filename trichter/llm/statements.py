@@ -156,9 +156,54 @@ FROM kept JOIN coded USING (row), final
 """
 
 
+def _terms(table: str, keys: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {keys}, unnest(regexp_extract_all({lower}, '{pattern}')) AS term FROM {table}"
+
+
+RANKED = f"""
+WITH held AS (
+    {_terms("(SELECT *, row_number() OVER () AS row FROM documents)", "row, doc_id")}
+),
+counted AS (
+    SELECT row, doc_id, term, count(*) AS tf FROM held GROUP BY row, doc_id, term
+),
+sized AS (
+    SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row
+),
+totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized
+),
+spans AS (
+    SELECT row, 25 + (75 * n * docs) // terms AS m FROM sized, totals
+),
+wanted AS (
+    SELECT item, item_id, term, count(*) AS repeats
+    FROM ({_terms("(SELECT *, row_number() OVER () AS item FROM benchmark)", "item, item_id")})
+    GROUP BY item, item_id, term
+),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, totals WHERE term IN (SELECT term FROM wanted) GROUP BY term
+),
+scored AS (
+    SELECT item, item_id, row, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM wanted JOIN counted USING (term) JOIN weights USING (term) JOIN spans USING (row)
+    GROUP BY item, item_id, row, doc_id
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 STATEMENTS: dict[str, str] = {
     "op4_minhash_near_dedup": NEAR_DEDUP,
     "op7_benchmark_decontamination": CONTAMINATION,
     "op10_warc_normaliser": WARC,
+    "op11_ranked_search": RANKED,
     "op13_vector_codes": _vector_codes(),
 }
