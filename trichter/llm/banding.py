@@ -6,17 +6,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trichter.llm.common import free_shuffles, salt_of, written
+from trichter.llm.common import drop_written, free_shuffles, salt_of, written
 
 _SALTS = 8
-_BLOCK = 256
+_BLOCK, _BLOCK_BYTES = 256, 4_000_000
+_PAIRS_A_SHARE = 2000
 _SCREEN = 64  # minima that blocks carry
 _HELD_COMPONENTS = 500_000
 
 
+def entries_of(buckets: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Rows ``bucket, node, hub`` of the (bucket, node) pairs of one slice of a task.
+
+    Of the nodes that share a bucket the smallest is the slice's hub. Its row names itself as hub,
+    the others name it, and a node that is alone in its bucket names none. Later steps bring
+    together one row per slice and bucket, however many nodes the bucket has.
+    """
+    order = np.lexsort((nodes, buckets))
+    buckets, nodes = buckets[order], nodes[order]
+    new = np.ones(len(buckets), bool)
+    new[1:] = (buckets[1:] != buckets[:-1]) | (nodes[1:] != nodes[:-1])
+    buckets, nodes = buckets[new], nodes[new]
+    first = np.ones(len(buckets), bool)
+    first[1:] = buckets[1:] != buckets[:-1]
+    at = np.flatnonzero(first)
+    hubs = np.repeat(nodes[at], np.diff(np.append(at, len(buckets))))
+    alone = first & np.append(first[1:], True)
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(nodes), pa.array(hubs, mask=alone)], ["bucket", "node", "hub"])
+
+
+ENTRIES = "bucket long, node long, hub long"
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """``bucket, node, hub`` of the members of buckets with several nodes; only one row per slice meets others."""
+    spoke = F.col("node") != F.col("hub")
+    placed = entries.withColumn("apart", F.when(spoke, F.col("node")))
+    same = Window.partitionBy("bucket", "apart")
+    met = placed.withColumns(
+        {
+            "least": F.min("node").over(same),
+            "most": F.max("node").over(same),
+            "held": F.count("hub").over(same),
+            "before": F.lag("node").over(same.orderBy("node")),
+        }
+    )
+    kept = met.filter("apart IS NOT NULL OR least < most OR held > 0").filter("before IS NULL OR before <> node")
+    return kept.select("bucket", "node", F.when(F.col("apart").isNull(), F.col("least")).otherwise(F.col("hub")).alias("hub"))
+
+
 def linked_components(
     entries: DataFrame,
     describe: Callable[[DataFrame], DataFrame],
@@ -28,47 +70,40 @@ def linked_components(
 ) -> DataFrame:
     """``node, component`` of all nodes linked by a Jaccard similarity of ``similarity`` per cent.
 
-    ``entries`` has a row (``bucket``, ``node``) per band of a node. ``describe`` gets the nodes of
+    ``entries`` has the rows of ``entries_of`` for all slices. ``describe`` gets the nodes of
     buckets with several members and returns ``node, minima, hashes``: a byte of each of the
     ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Every node
-    first meets the smallest node of its buckets, then, where one of its buckets holds another
-    component, a node of that; those still in different components meet one another, in blocks.
+    first meets the smallest hub of its buckets, then, in each bucket that holds another
+    component, one node of that; those still in different components meet one another, in blocks.
     So a group of many copies costs a few comparisons per member, and no link that joins two
-    components is missed.
+    components is missed. Every link is confirmed on the full sets.
     """
-    placed = entries.withColumn("salt", salt_of("node", _SALTS))
-    shared = (
-        placed.groupBy("bucket")
-        .agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-        .filter("hub < last")
-        .select("bucket", "hub", "size", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    )
-    members = written(placed.join(shared, ["bucket", "salt"]).select("bucket", "node", "hub", "size"), "buckets")
-    del placed, shared
-    free_shuffles(entries.sparkSession)
+    spark = entries.sparkSession
+    members = written(_shared(entries), "buckets")
+    free_shuffles(spark)
     sets = written(describe(members.select("node").distinct()), "sets")
-    free_shuffles(entries.sparkSession)
-
-    def confirmed(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        return written(_confirm(_screen(pairs, sets, similarity, minima), sets, similarity, number), "pairs")
+    free_shuffles(spark)
 
     hubs = members.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))
-    tried = confirmed(hubs.select("a", F.col("node").alias("b")), None)
+    tried = _confirmed(hubs.select("a", F.col("node").alias("b")), sets, similarity, minima, number)
     components = components_of(tried.filter("linked").select("a", "b"))
 
     mixed = _mixed_buckets(members, components)
     pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
-    far = mixed.filter("component <> far_component").select("node", pair).select("node", "pair.*")
-    untried = far.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    one_each = untried.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*").distinct()
-    found = confirmed(one_each, None)
-    tried = tried.unionByName(found)
-    components = _joined(components, found, components_of)
-
-    mixed = _mixed_buckets(members, components)
-    return _joined(components, confirmed(_across(mixed, sets, similarity, minima, number), tried), components_of)
+    far = mixed.filter("component <> far_component").select(pair).select("pair.*").distinct()
+    found = _confirmed(far.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity, minima, number)
+    following = _joined(components, found, components_of)
+    for table in (mixed, tried, found):
+        drop_written(table)
+
+    mixed = _mixed_buckets(members, following)
+    drop_written(members)
+    free_shuffles(spark)
+    links = _across(mixed, sets, similarity, minima, number)
+    components = _joined(following, links, components_of)
+    for table in (mixed, links, sets):
+        drop_written(table)
+    return components
 
 
 def _joined(components: DataFrame, found: DataFrame, components_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -82,22 +117,24 @@ def _joined(components: DataFrame, found: DataFrame, components_of: Callable[[Da
 def _mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with one node of the bucket's last component."""
     known = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = written(known.withColumn("salt", salt_of("node", _SALTS)), "known")
+    known = written(known.select("bucket", "node", "component").withColumn("salt", salt_of("node", _SALTS)), "known")
     far = F.max(F.struct("component", "node"))
     mixed = (
         known.groupBy("bucket")
-        .agg(F.min("component").alias("near_component"), far.alias("far"))
+        .agg(F.min("component").alias("near_component"), far.alias("far"), F.count(F.lit(1)).alias("size"))
         .filter("near_component < far.component")
         .select(
             "bucket",
+            "size",
             F.col("far.component").alias("far_component"),
             F.col("far.node").alias("far_node"),
             F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
         )
     )
-    return known.join(mixed, ["bucket", "salt"]).select(
-        "bucket", "node", "size", "component", "far_component", "far_node"
-    )
+    found = known.join(mixed, ["bucket", "salt"]).select("bucket", "node", "size", "component", "far_component", "far_node")
+    found = written(found, "mixed")
+    drop_written(known)
+    return found
 
 
 def _least_equal(similarity: int, minima: int) -> int:
@@ -110,14 +147,31 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, minima: int, number: type) -> DataFrame:
+    """``a, b, linked`` of the pairs whose signatures agree often enough, written."""
+    asked = written(pairs, "asked")
+    screened = written(_screen(asked, sets, similarity, minima), "screened")
+    drop_written(asked)
+    found = written(_confirm(screened, sets, similarity, number), "pairs")
+    drop_written(screened)
+    return found
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``a, b, one, two``: pairs with a column of both sets. A side ``a`` of many pairs is dealt out by their number."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PAIRS_A_SHARE).cast("int").alias("shares"))
+    left = sets.join(shares.withColumnRenamed("a", "node"), "node").select(
+        F.col("node").alias("a"), F.col(column).alias("one"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")
+    )
+    right = sets.select(F.col("node").alias("b"), F.col(column).alias("two"))
+    dealt = pairs.join(shares, "a").withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "b"), F.col("shares")).cast("int"))
+    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "one", "two")
+
+
 def _screen(pairs: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
-    """Pairs whose signatures agree often enough. The frequent side ``a`` is met under a salt."""
+    """Pairs whose signatures agree often enough."""
     least = _least_equal(similarity, width)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    hubs = pairs.select(F.col("a").alias("node")).distinct()
-    left = sets.join(hubs, "node", "left_semi").select(F.col("node").alias("a"), F.col("minima").alias("one"), salts)
-    right = sets.select(F.col("node").alias("b"), F.col("minima").alias("two"))
-    both = pairs.join(right, "b").withColumn("salt", salt_of("b", _SALTS)).join(left, ["a", "salt"])
+    both = _with_both(pairs, sets, "minima")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,30 +179,24 @@ def _screen(pairs: DataFrame, sets: DataFrame, similarity: int, width: int) -> D
                 equal = (_bytes(batch.column("one"), width) == _bytes(batch.column("two"), width)).sum(1)
                 yield batch.select(["a", "b"]).filter(pa.array(equal >= least))
 
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int, number: type) -> DataFrame:
     """``a, b, linked``: the similarity of the full sets reaches the bound."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    pairs = written(pairs, "screened")
-    hubs = pairs.select(F.col("a").alias("node")).distinct()
-    left = sets.join(hubs, "node", "left_semi").select(F.col("node").alias("a"), F.col("hashes").alias("one"), salts)
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("two"))
-    both = pairs.join(right, "b").withColumn("salt", salt_of("b", _SALTS)).join(left, ["a", "salt"])
+    both = _with_both(pairs, sets, "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for one, two in zip(batch.column("one"), batch.column("two")):
                 x, y = np.frombuffer(one.as_buffer(), number), np.frombuffer(two.as_buffer(), number)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if _sizes_fit(len(x), len(y), similarity) else 0
-                linked.append(common > 0 and 100 * common >= similarity * (len(x) + len(y) - common))
+                linked.append(_alike(x, y, similarity))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
             )
 
-    found = both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean")
+    found = both.mapInArrow(run, "a long, b long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
@@ -157,50 +205,41 @@ def _sizes_fit(n: int, m: int, similarity: int) -> bool:
 
 
 def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, number: type) -> DataFrame:
-    """Pairs that join the components of mixed buckets: a forest of links, to be confirmed on the full sets.
-
-    Members are packed in blocks of about ``_BLOCK`` with a short form of their sets (32 bits per
-    shingle) and of their signatures; two blocks of a bucket meet as one row. A task compares the
-    members that it does not yet know to be joined, and notes each joining link in a union-find
-    of its own, so what it emits and compares grows with the components and not with the pairs.
+    """``a, b, linked``: links that join the components of mixed buckets, confirmed on the full sets; written.
+
+    Members of a bucket are packed in blocks, and two blocks meet as one row unless both hold the
+    same component alone. In a first round blocks carry signatures only, and members go on that
+    agree often enough with one of another component. In the second they carry their full sets; a
+    task compares the members that it does not yet know to be joined and notes each link it
+    confirms in a union-find of its own. So what is emitted grows with the members, and not with
+    the pairs. A bucket of two members has been tried before.
     """
     screened = min(width, _SCREEN)
     least = _least_equal(similarity, screened)
-    blocks = F.ceil(F.col("size") / _BLOCK)
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [
-                np.unique((np.frombuffer(h, number) >> number(8 * (number(0).nbytes - 4))).astype(np.uint32)).tobytes()
-                for h in batch.column("hashes").to_pylist()
-            ]
-            lines = [m[:screened] for m in batch.column("minima").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(lines, pa.binary()), pa.array(short, pa.binary())], ["node", "line", "short"]
-            )
-
-    wanted = sets.join(mixed.select("node").distinct(), "node", "left_semi")
-    short = wanted.select("node", "minima", "hashes").mapInArrow(shorten, "node long, line binary, short binary")
-    packed = (
-        mixed.join(short, "node")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int"))
-        .groupBy("bucket", "block")
-        .agg(
-            F.first("size").alias("size"),
-            F.collect_list(F.struct("node", "component", "line", "short")).alias("members"),
-        )
-    )
-    every = F.explode(F.sequence(F.col("block"), F.ceil(F.col("size") / _BLOCK).cast("int") - 1)).alias("other")
-    left = packed.select("bucket", "block", every, F.col("members").alias("left_members"))
-    right = packed.select("bucket", F.col("block").alias("other"), F.col("members").alias("right_members"))
-    meeting = left.join(right, ["bucket", "other"]).select("left_members", "right_members")
-
-    def unpack(members: pa.Scalar):
-        values = members.values
-        shorts = [np.frombuffer(h.as_buffer(), np.uint32) for h in values.field("short")]
-        return values.field("node").to_pylist(), values.field("component").to_pylist(), _bytes(values.field("line"), screened), shorts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left, right = _Members(batch, "left_members"), _Members(batch, "right_members")
+            one, two = left.fixed("signature", screened), right.fixed("signature", screened)
+            buckets, nodes, groups = [], [], []
+            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+                a, b = left.span(row), right.span(row)
+                fit = left.groups[a][:, None] != right.groups[b][None, :]
+                fit &= (one[a][:, None, :] == two[b][None, :, :]).sum(2) >= least
+                for side, span, any_ in ((left, a, fit.any(1)), (right, b, fit.any(0))):
+                    nodes.append(side.nodes[span][any_])
+                    groups.append(side.groups[span][any_])
+                    buckets.append(np.full(int(any_.sum()), bucket, np.int64))
+            columns = [pa.array(np.concatenate(c)) if c else pa.array([], pa.int64()) for c in (buckets, nodes, groups)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "node", "component"])
+
+    signed = sets.select("node", F.substring("minima", 1, screened).alias("signature"))
+    placed = mixed.filter("size > 2").select("bucket", "node", "component").join(signed, "node")
+    meetings, blocks = _meetings(placed)
+    near = written(meetings.mapInArrow(agreeing, "bucket long, node long, component long").distinct(), "near")
+    drop_written(blocks)
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
 
         def root(component: int) -> int:
@@ -211,23 +250,98 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
 
         for batch in batches:
             links = []
+            left, right = _Members(batch, "left_members"), _Members(batch, "right_members")
+            one, two = left.fixed("signature", screened), right.fixed("signature", screened)
             for row in range(batch.num_rows):
-                nodes, groups, lines, shorts = unpack(batch.column("left_members")[row])
-                others, other_groups, other_lines, other_shorts = unpack(batch.column("right_members")[row])
                 if len(above) > _HELD_COMPONENTS:
                     above.clear()
-                for node, group, line, own in zip(nodes, groups, lines, shorts):
-                    equal = (other_lines == line).sum(1)
-                    for at in sorted(np.flatnonzero(equal >= least).tolist(), key=lambda n: -equal[n]):
-                        one, two = root(group), root(other_groups[at])
-                        if one != two and _alike(own, other_shorts[at], similarity):
-                            above[max(one, two)] = min(one, two)
-                            links.append((min(node, others[at]), max(node, others[at])))
+                a, b = left.span(row), right.span(row)
+                equal = (one[a][:, None, :] == two[b][None, :, :]).sum(2)
+                equal[left.groups[a][:, None] == right.groups[b][None, :]] = 0
+                close = np.argwhere(equal >= least) + (a.start, b.start)
+                for m, n in sorted(close.tolist(), key=lambda at: -equal[at[0] - a.start, at[1] - b.start]):
+                    x, y = root(int(left.groups[m])), root(int(right.groups[n]))
+                    if x != y and _alike(left.numbers("payload", m, number), right.numbers("payload", n, number), similarity):
+                        above[max(x, y)] = min(x, y)
+                        links.append(sorted((int(left.nodes[m]), int(right.nodes[n]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"]
             )
 
-    return meeting.mapInArrow(run, "a long, b long").distinct()
+    full = near.join(signed.join(sets.select("node", F.col("hashes").alias("payload")), "node"), "node")
+    meetings, blocks = _meetings(full)
+    links = written(meetings.mapInArrow(joining, "a long, b long").withColumn("linked", F.lit(True)), "links")
+    drop_written(near)
+    drop_written(blocks)
+    return links
+
+
+def _meetings(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``bucket, left_members, right_members``: the blocks of each bucket that hold different components.
+
+    ``placed`` has ``bucket, node, component, signature`` and perhaps ``payload``; the second table
+    returned holds the blocks, to be dropped when the meetings have been read. A block is bounded by members and bytes. A
+    component with many members in a bucket has blocks of its own, the others share blocks.
+    """
+    carried = [name for name in ("signature", "payload") if name in placed.columns]
+    weight = sum((F.octet_length(name) for name in carried), F.lit(24))
+    sizes = placed.groupBy("bucket", "component").agg(_blocks(weight).alias("own"))
+    shares = sizes.groupBy("bucket").agg(
+        F.ceil(F.sum(F.when(F.col("own") < 1, F.col("own")).otherwise(0))).alias("pooled"), F.count(F.lit(1)).alias("groups")
+    )
+    layout = sizes.join(shares.filter("groups > 1"), "bucket")
+    spread = F.pmod(F.xxhash64(F.lit(9), "node"), F.greatest(F.ceil("own"), F.lit(1)))
+    block = F.when(F.col("own") < 1, F.pmod(F.xxhash64(F.lit(7), "component"), F.greatest("pooled", F.lit(1)))).otherwise(
+        F.xxhash64("component", spread)
+    )
+    packed = (
+        placed.join(layout, ["bucket", "component"])
+        .withColumn("block", block)
+        .groupBy("bucket", "block")
+        .agg(
+            F.min("component").alias("first"),
+            F.max("component").alias("last"),
+            F.collect_list(F.struct("node", "component", *carried)).alias("members"),
+        )
+    )
+    packed = written(packed, "blocks")
+    ends = packed.select("bucket", "block", "first", "last")
+    left = ends.select("bucket", F.col("block").alias("one"), F.col("first").alias("first_one"), F.col("last").alias("last_one"))
+    right = ends.select("bucket", F.col("block").alias("two"), F.col("first").alias("first_two"), F.col("last").alias("last_two"))
+    differ = "one <= two AND NOT (first_one = last_one AND first_two = last_two AND first_one = first_two)"
+    pairs = left.join(right, "bucket").filter(differ).select("bucket", "one", "two")
+    meetings = (
+        pairs.join(packed.select("bucket", F.col("block").alias("one"), F.col("members").alias("left_members")), ["bucket", "one"])
+        .join(packed.select("bucket", F.col("block").alias("two"), F.col("members").alias("right_members")), ["bucket", "two"])
+        .select("bucket", "left_members", "right_members")
+    )
+    return meetings, packed
+
+
+def _blocks(weight: Column) -> Column:
+    """How many blocks the rows of a group fill, as a fraction."""
+    return F.greatest(F.count(F.lit(1)) / _BLOCK, F.sum(weight) / _BLOCK_BYTES)
+
+
+class _Members:
+    """One side of the meetings of a batch, as flat arrays with the span of each row."""
+
+    def __init__(self, batch: pa.RecordBatch, name: str) -> None:
+        lists = batch.column(name)
+        ends = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+        self._ends = ends.tolist()
+        self._values = lists.flatten()
+        self.nodes = self._values.field("node").to_numpy(zero_copy_only=False)
+        self.groups = self._values.field("component").to_numpy(zero_copy_only=False)
+
+    def span(self, row: int) -> slice:
+        return slice(self._ends[row], self._ends[row + 1])
+
+    def fixed(self, name: str, width: int) -> np.ndarray:
+        return _bytes(self._values.field(name), width)
+
+    def numbers(self, name: str, at: int, number: type) -> np.ndarray:
+        return np.frombuffer(self._values.field(name)[at].as_buffer(), number)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:

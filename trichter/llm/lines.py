@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from trichter.llm.banding import linked_components
-from trichter.llm.common import row_key, salt_of, with_group_min, with_lookup, written
+from trichter.llm.banding import ENTRIES, entries_of, linked_components
+from trichter.llm.common import joined_by_frequency, written
 from trichter.llm.components import union_find
 
 BANDS, ROWS = 16, 4
 SHINGLE = 8
 _CHUNK_CHARS = 120_000
-_SEEN_LINES = 300_000
+_SEEN_LINES = 200_000
+_SLICE_ENTRIES = 800_000
 _OUTER = " \t\r"
-_SALTS = 8
 
 
 def dedup_lines(
@@ -46,42 +46,53 @@ def dedup_lines(
     replaced. Null texts stay null with no line. Rows with a null id come after all others. Rows
     that agree in id and text are one document: what is dropped from one is dropped from all.
     With ``drop_emptied`` documents that have lost all of their lines go. An empty table stays
-    empty. A line is known by 64 bits of its hash.
+    empty. Documents and lines are known by 128 bits of two hashes. Where different lines agree in
+    the first 64 bits, only one of them takes part in the search for similar lines (of 10**12 lines
+    about one in 10**7); all are compared for equality. Other columns may have any name.
     """
     docs = docs.drop("lines", "kept_lines", "dropped")
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_n").alias("n"), F.col("_key").alias("key"))
-    every = docs.select(id_col, row_key(id_col, text_col).alias("_key"), F.posexplode(_lines(F.col(text_col))).alias("_n", "_line"))
-    every = every.filter(F.length("_line") > 0)
-    spot = F.xxhash64("_key", "_n").alias("spot")
-    labels = similar_lines(every.select(F.col("_line").alias("line"), spot), similarity)
-
-    spots = written(every.select(place.alias("place"), F.xxhash64("_line").alias("line"), spot), "lines")
-    grouped = with_lookup(spots, "line", labels.select(F.col("node").alias("line"), "component"), "component", "spot")
-    grouped = grouped.withColumn("component", F.coalesce("component", "line"))
-    first = with_group_min(grouped, "component", "place", "first", "spot")
-    repeats = first.filter("place <> first").select(
-        F.col("place.id").alias("_id"), F.col("place.key").alias("_key"), F.col("place.n").alias("_n")
+    keyed = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    keyed = keyed.withColumns({"key": F.xxhash64(F.col("id").cast("string"), "text"), "key2": F.xxhash64(F.lit(1), F.col("id").cast("string"), "text")})
+    every = keyed.select("id", "key", "key2", F.posexplode(_lines(F.col("text"))).alias("n", "line")).filter(F.length("line") > 0)
+    every = every.withColumns(dict(zip(("node", "check"), _line_digest("line"))))
+
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "n", "key", "key2").alias("place")
+    spots = written(every.select(place, "node", "check"), "line-places")
+    distinct = written(spots.groupBy("node", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
+    # Of different lines that share a node, one (the least check) takes part in the search.
+    shared = distinct.groupBy("node").agg(F.min("check").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(shared.select("node", "least"), "line-shared")
+    searched = every.select("node", "check", "line")
+    if not shared.isEmpty():
+        searched = searched.join(shared, "node", "left").filter("least IS NULL OR least = check")
+    labels = similar_lines(searched.select("node", "line"), similarity)
+
+    leading = distinct.groupBy("node").agg(F.min("check").alias("check"))
+    roots = leading.select(F.col("node").alias("component"), F.col("check").alias("root_check"))
+    labelled = labels.join(leading, "node").join(roots, "component")
+    grouped = distinct.join(labelled, ["node", "check"], "left").select(
+        "node", "check", "first", "n", F.coalesce("component", "node").alias("component"), F.coalesce("root_check", "check").alias("root_check")
     )
-    drops = repeats.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("_n")).alias("dropped"))
-
-    keyed = docs.withColumn("_match", row_key(id_col, text_col))
-    met = keyed.join(drops, keyed[id_col].eqNullSafe(drops["_id"]) & (keyed["_match"] == drops["_key"]), "left")
+    grouped = written(grouped, "line-groups")
+    groups = grouped.groupBy("component", "root_check").agg(F.min("first").alias("least"), F.sum("n").alias("size")).filter("size > 1")
+    firsts = joined_by_frequency(grouped.select("node", "check", "component", "root_check"), ["component", "root_check"], groups)
+    firsts = written(firsts.filter("least IS NOT NULL").select("node", "check", "least"), "line-least")
+    repeats = joined_by_frequency(spots, ["node", "check"], firsts).filter("place <> least").select("place.*")
+    drops = repeats.groupBy("key", "key2").agg(F.sort_array(F.collect_set("n")).alias("gone"))
+
+    met = keyed.join(drops, ["key", "key2"], "left")
     none = F.array().cast("array<int>")
-    changed = F.when(F.col("dropped").isNotNull(), F.col(text_col))
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(_without(changed, F.col("dropped")))
-    count = F.coalesce(F.size(F.filter(_lines(F.col(text_col)), lambda x: F.length(x) > 0)), F.lit(0))
-    cleaned = met.withColumns(
-        {
-            "lines": count,
-            "kept_lines": count - F.size(F.coalesce("dropped", none)),
-            "_text": text,
-            "dropped": F.coalesce("dropped", none),
-        }
-    )
-    if drop_emptied:
-        cleaned = cleaned.filter("kept_lines > 0 OR lines = 0")
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return cleaned.select(*columns, "lines", "kept_lines", "dropped")
+    rest = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
+    lines = F.coalesce(F.size(F.filter(_lines(F.col("text")), lambda x: F.length(x) > 0)), F.lit(0))
+    dropped = F.coalesce("gone", none)
+    columns = [rest.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    cleaned = met.select(*columns, lines.alias("lines"), (lines - F.size(dropped)).alias("kept_lines"), dropped.alias("dropped"))
+    return cleaned.filter("kept_lines > 0 OR lines = 0") if drop_emptied else cleaned
+
+
+def _line_digest(line: str) -> tuple[Column, Column]:
+    """The node of a line, and 64 more bits that tell lines of one node apart."""
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
 
 def _lines(text: Column) -> Column:
@@ -101,35 +112,32 @@ def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([rest(text, gone) for text, gone in zip(texts, dropped)])
 
 
-def similar_lines(lines: DataFrame, similarity: int) -> DataFrame:
-    """``node, component`` of the lines (``line``, and a number ``spot`` of the place) that are like a different one.
-
-    Nodes are hashes of lines.
-    """
-    source = lines.select(F.xxhash64("line").alias("node"), "line", "spot")
+def similar_lines(source: DataFrame, similarity: int) -> DataFrame:
+    """``node, component`` of the lines (``node, line``) that are like a different one."""
 
     def describe(wanted: DataFrame) -> DataFrame:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-        found = source.withColumn("salt", salt_of("spot", _SALTS)).join(wanted.select("node", salts), ["node", "salt"], "left_semi")
-        described = found.select("node", "line").mapInArrow(_describe, "node long, minima binary, hashes binary")
-        return described.dropDuplicates(["node"])
+        found = source.join(wanted, "node", "left_semi")
+        return found.mapInArrow(_describe, "node long, minima binary, hashes binary").dropDuplicates(["node"])
 
-    entries = source.select("node", "line").mapInArrow(_enter, "bucket long, node long")
     return linked_components(
-        entries, describe, union_find, similarity=similarity, minima=BANDS * ROWS, number=np.uint32
+        source.mapInArrow(_enter, ENTRIES), describe, union_find, similarity=similarity, minima=BANDS * ROWS, number=np.uint32
     )
 
 
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per band of every line, once for lines that a task meets again."""
+    """Entries of the bands of all lines, in slices; a line that a task meets again is passed over."""
     minhash = LineHash()
     seen: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for nodes, lines in _new_lines(batch, seen):
             buckets = minhash.bands(minhash.minima(lines))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets.ravel()), pa.array(np.repeat(np.array(nodes, np.int64), BANDS))], ["bucket", "node"]
-            )
+            held.append((buckets.ravel(), np.repeat(np.array(nodes, np.int64), BANDS)))
+        if sum(len(b) for b, _ in held) >= _SLICE_ENTRIES:
+            yield entries_of(*map(np.concatenate, zip(*held)))
+            held = []
+    if held:
+        yield entries_of(*map(np.concatenate, zip(*held)))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +156,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _new_lines(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[list[int], list[str]]]:
     """Lines of a batch that are new to the task, in portions of bounded length."""
     nodes, lines, size = [], [], 0
-    for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist()):
+    texts = batch.column("line")
+    for row, node in enumerate(batch.column("node").to_pylist()):
         if node in seen:
             continue
+        line = texts[row].as_py()
         if len(seen) >= _SEEN_LINES:
             seen.clear()
         seen.add(node)

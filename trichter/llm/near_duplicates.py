@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from trichter.llm.banding import linked_components
+from trichter.llm.banding import ENTRIES, entries_of, linked_components
 from trichter.llm.common import salt_of, written
 from trichter.llm.components import star_components
 
@@ -58,11 +58,9 @@ def near_duplicates(
     parts = rows.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"))
     classes = written(parts.groupBy("digest").agg(F.min("least").alias("node")), "minhash-classes")
 
-    firsts = linkable.join(classes, (F.col("doc_id") == F.col("node")) & (signed.digest == classes.digest)).select(
-        "node", F.explode("bands").alias("bucket")
-    )
+    firsts = linkable.join(classes, (F.col("doc_id") == F.col("node")) & (signed.digest == classes.digest)).select("node", "bands")
     components = linked_components(
-        firsts,
+        firsts.mapInArrow(_entries, ENTRIES),
         lambda wanted: _sets(source.join(wanted, source.doc_id == wanted.node, "left_semi")),
         star_components,
         similarity=similarity,
@@ -160,11 +158,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            yield entries_of(batch.column("bands").flatten().to_numpy(zero_copy_only=False), np.repeat(nodes, BANDS))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with about ``_CHUNK_WORDS`` words, one text at least."""
     start, size, texts = 0, 0, []
-    for n, text in enumerate(batch.column(column).to_pylist()):
-        texts.append(text or "")
+    for n, text in enumerate(batch.column(column)):
+        texts.append(text.as_py() or "")
         size += len(texts[-1]) // 6
         if size >= _CHUNK_WORDS:
             yield batch.slice(start, n + 1 - start), texts
