@@ -72,7 +72,10 @@ def test_long_texts_are_cut_at_blanks(spark, tokenizer, monkeypatch):
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("aB1.'é<|") for _ in range(rng.randrange(1, 9))) for _ in range(3000))
     whole = len(tokenizer.encode(text, add_special_tokens=False).ids)
-    count = token_counts.counter(tokenizer_path())
+    monkeypatch.setattr(token_counts, "_MEMO_WORDS", 500)
+    monkeypatch.setattr(token_counts, "_MEMO_LENGTH", 4)
+    count = token_counts.counter(tokenizer_path(), True)
+    assert token_counts.counter(tokenizer_path())([text]) == [whole]
     for length in (1, 7, 100, 5000):
         pieces = list(token_counts._pieces(text, True, length))
         assert "".join(pieces) == text

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trichter.llm.common import fresh_path, joined_by_frequency, path_exists, written
 
 _SLICE_BYTES = 2_000_000  # of text, tokenized at once
+_MEMO_WORDS, _MEMO_LENGTH = 300_000, 64
 _BROADCAST_DIGESTS = 100_000
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 _CACHE = "content binary, n_tokens long"
@@ -49,7 +50,8 @@ def count_tokens(
     independent: repeated rows and null ids get a row each. Other columns are ignored. An empty
     table gives no rows. Texts are tokenized in slices of bounded length; a long text is taken apart
     at white space where the tokenizer drops it, and is otherwise a slice of its own. Two runs that
-    append the same digest at once do no harm: equal digests count once.
+    append the same digest at once do no harm: equal digests count once. Where blanks stand between
+    tokens, words are tokenized once per task while a bounded memo holds them.
     """
     spark = docs.sparkSession
     version, words = tokenizer_version(tokenizer_path)
@@ -103,7 +105,7 @@ def encoded(texts: DataFrame, tokenizer_path: str, words: bool) -> DataFrame:
     """``content, n_tokens`` of texts in normal form (``content, form``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path)
+        count = counter(tokenizer_path, words)
         for batch in batches:
             found = []
             for slice_ in _slices(batch.column("form"), words):
@@ -146,8 +148,8 @@ def _pieces(text: str, words: bool, length: int = _SLICE_BYTES) -> Iterator[str]
 # Tokenizers
 
 
-def counter(path: str):
-    """A function from texts to their numbers of tokens."""
+def counter(path: str, words: bool = False):
+    """A function from texts to their numbers of tokens, with ``words`` as the sum over what stands between blanks."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -159,7 +161,31 @@ def counter(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return WordCounts(whole) if words else whole
+
+
+class WordCounts:
+    """Counts texts word by word. Short words are tokenized once while the memo holds them."""
+
+    def __init__(self, whole) -> None:
+        self._whole = whole
+        self._memo: dict[str, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        split = [text.split(" ") for text in texts]
+        if len(self._memo) > _MEMO_WORDS:
+            self._memo.clear()
+        known = self._memo
+        new = list(set().union(*split).difference(known))
+        found = dict(zip(new, self._whole(new)))
+        known.update((word, count) for word, count in found.items() if len(word) <= _MEMO_LENGTH)
+        if any(len(word) > _MEMO_LENGTH for word in new):
+            known = {**known, **found}
+        return [sum(map(known.__getitem__, words)) for words in split]
 
 
 def tokenizer_version(path: str) -> tuple[str, bool]:
