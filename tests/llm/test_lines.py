@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from trichter.llm import banding, lines
 from trichter.llm.components import union_find
 from trichter.llm.lines import dedup_lines
 from trichter.llm.registered import QUERIES
@@ -101,3 +104,39 @@ def test_query_matches_brute_force_on_exact_lines(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     check(rows, QUERIES["op2_line_dedup"](spark, folder).collect())
+
+
+def _near_lines(count):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90))
+    rows = []
+    for d in range(count):
+        line = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            line[rng.randrange(90)] = rng.choice("QRSTUVWXYZ")
+        rows.append((d, "".join(line)))
+    return rows
+
+
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    """Many lines of one bucket in several components, in blocks of two."""
+    monkeypatch.setattr(banding, "_BLOCK", 2)
+    rows = _near_lines(120)
+    check(rows, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_match", "_text", "_key", "_id", "key", "key2", "row", "id", "n", "place", "line", "gone", "node"]
+    rows = [(1, "one line of text\nanother line"), (2, "one line of text!")]
+    frame = spark.createDataFrame([(*r, *names) for r in rows], ["doc_id", "text", *names])
+    got = dedup_lines(frame).collect()
+    check(rows, got)
+    assert all(r[name] == name for r in got for name in names)
+
+
+def test_lines_that_share_a_node_are_told_apart(spark, monkeypatch):
+    """With a few bits of hash, no line is dropped that is not like another one."""
+    monkeypatch.setattr(lines, "_line_digest", lambda line: (F.pmod(F.xxhash64(line), F.lit(3)), F.xxhash64(F.lit(1), line)))
+    rows = [(d, f"{'abcdefgh'[d] * 30} {d}") for d in range(8)] + [(8, f"{'c' * 30} 2"), (9, f"{'e' * 30} 4")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.dropped) == [8, 9]

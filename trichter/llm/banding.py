@@ -46,13 +46,14 @@ def _shared(entries: DataFrame) -> DataFrame:
     """``bucket, node, hub`` of the members of buckets with several nodes; only one row per slice meets others."""
     spoke = F.col("node") != F.col("hub")
     placed = entries.withColumn("apart", F.when(spoke, F.col("node")))
-    same = Window.partitionBy("bucket", "apart")
+    ordered = Window.partitionBy("bucket", "apart").orderBy("node")
+    same = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = placed.withColumns(
         {
             "least": F.min("node").over(same),
             "most": F.max("node").over(same),
             "held": F.count("hub").over(same),
-            "before": F.lag("node").over(same.orderBy("node")),
+            "before": F.lag("node").over(ordered),
         }
     )
     kept = met.filter("apart IS NOT NULL OR least < most OR held > 0").filter("before IS NULL OR before <> node")
@@ -72,7 +73,8 @@ def linked_components(
 
     ``entries`` has the rows of ``entries_of`` for all slices. ``describe`` gets the nodes of
     buckets with several members and returns ``node, minima, hashes``: a byte of each of the
-    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``. Every node
+    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``; a node may
+    come more than once. Every node
     first meets the smallest hub of its buckets, then, in each bucket that holds another
     component, one node of that; those still in different components meet one another, in blocks.
     So a group of many copies costs a few comparisons per member, and no link that joins two
@@ -138,9 +140,9 @@ def _mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _least_equal(similarity: int, minima: int) -> int:
-    """How many minima of two signatures agree at least: six standard deviations below the mean."""
+    """How many minima of two signatures agree at least: five standard deviations below the mean."""
     p = similarity / 100
-    return int(minima * p - 6 * (minima * p * (1 - p)) ** 0.5)
+    return int(minima * p - 5 * (minima * p * (1 - p)) ** 0.5)
 
 
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
@@ -219,13 +221,11 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _Members(batch, "left_members"), _Members(batch, "right_members")
-            one, two = left.fixed("signature", screened), right.fixed("signature", screened)
             buckets, nodes, groups = [], [], []
-            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
-                a, b = left.span(row), right.span(row)
+            for row, (left, a, right, b) in _met(batch, screened):
+                bucket = batch.column("bucket")[row].as_py()
                 fit = left.groups[a][:, None] != right.groups[b][None, :]
-                fit &= (one[a][:, None, :] == two[b][None, :, :]).sum(2) >= least
+                fit &= (left.signs[a][:, None, :] == right.signs[b][None, :, :]).sum(2) >= least
                 for side, span, any_ in ((left, a, fit.any(1)), (right, b, fit.any(0))):
                     nodes.append(side.nodes[span][any_])
                     groups.append(side.groups[span][any_])
@@ -234,10 +234,11 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "node", "component"])
 
     signed = sets.select("node", F.substring("minima", 1, screened).alias("signature"))
-    placed = mixed.filter("size > 2").select("bucket", "node", "component").join(signed, "node")
-    meetings, blocks = _meetings(placed)
+    members = mixed.filter("size > 2").select("bucket", "node", "component", F.lit(screened + 24).alias("weight"))
+    meetings, used = _meetings(members, signed)
     near = written(meetings.mapInArrow(agreeing, "bucket long, node long, component long").distinct(), "near")
-    drop_written(blocks)
+    for table in used:
+        drop_written(table)
 
     def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
@@ -250,13 +251,10 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
 
         for batch in batches:
             links = []
-            left, right = _Members(batch, "left_members"), _Members(batch, "right_members")
-            one, two = left.fixed("signature", screened), right.fixed("signature", screened)
-            for row in range(batch.num_rows):
+            for _, (left, a, right, b) in _met(batch, screened):
                 if len(above) > _HELD_COMPONENTS:
                     above.clear()
-                a, b = left.span(row), right.span(row)
-                equal = (one[a][:, None, :] == two[b][None, :, :]).sum(2)
+                equal = (left.signs[a][:, None, :] == right.signs[b][None, :, :]).sum(2)
                 equal[left.groups[a][:, None] == right.groups[b][None, :]] = 0
                 close = np.argwhere(equal >= least) + (a.start, b.start)
                 for m, n in sorted(close.tolist(), key=lambda at: -equal[at[0] - a.start, at[1] - b.start]):
@@ -268,24 +266,26 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
                 [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"]
             )
 
-    full = near.join(signed.join(sets.select("node", F.col("hashes").alias("payload")), "node"), "node")
-    meetings, blocks = _meetings(full)
+    members = near.join(sets.select("node", (F.octet_length("hashes") + screened + 24).alias("weight")), "node")
+    first = F.substring("minima", 1, screened).alias("signature")
+    meetings, used = _meetings(members, sets.select("node", first, F.col("hashes").alias("payload")))
     links = written(meetings.mapInArrow(joining, "a long, b long").withColumn("linked", F.lit(True)), "links")
-    drop_written(near)
-    drop_written(blocks)
+    for table in (near, *used):
+        drop_written(table)
     return links
 
 
-def _meetings(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _meetings(members: DataFrame, carried: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``bucket, left_members, right_members``: the blocks of each bucket that hold different components.
 
-    ``placed`` has ``bucket, node, component, signature`` and perhaps ``payload``; the second table
-    returned holds the blocks, to be dropped when the meetings have been read. A block is bounded by members and bytes. A
-    component with many members in a bucket has blocks of its own, the others share blocks.
+    ``members`` has ``bucket, node, component, weight`` (bytes), ``carried`` what a node brings along.
+    A block is bounded by members and bytes. A component with many members in a bucket has blocks of
+    its own, the others share blocks. Blocks are laid out on numbers alone; then each member travels
+    once to its block, and only blocks of buckets with several blocks travel on to meet the others.
+    Right members are null where a block meets itself. The tables returned next are to be dropped
+    when the meetings have been read.
     """
-    carried = [name for name in ("signature", "payload") if name in placed.columns]
-    weight = sum((F.octet_length(name) for name in carried), F.lit(24))
-    sizes = placed.groupBy("bucket", "component").agg(_blocks(weight).alias("own"))
+    sizes = members.groupBy("bucket", "component").agg(_blocks(F.col("weight")).alias("own"))
     shares = sizes.groupBy("bucket").agg(
         F.ceil(F.sum(F.when(F.col("own") < 1, F.col("own")).otherwise(0))).alias("pooled"), F.count(F.lit(1)).alias("groups")
     )
@@ -294,28 +294,32 @@ def _meetings(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = F.when(F.col("own") < 1, F.pmod(F.xxhash64(F.lit(7), "component"), F.greatest("pooled", F.lit(1)))).otherwise(
         F.xxhash64("component", spread)
     )
-    packed = (
-        placed.join(layout, ["bucket", "component"])
-        .withColumn("block", block)
-        .groupBy("bucket", "block")
-        .agg(
-            F.min("component").alias("first"),
-            F.max("component").alias("last"),
-            F.collect_list(F.struct("node", "component", *carried)).alias("members"),
-        )
-    )
-    packed = written(packed, "blocks")
-    ends = packed.select("bucket", "block", "first", "last")
+    placed = members.join(layout, ["bucket", "component"]).select("bucket", "node", "component", block.alias("block"))
+    placed = written(placed, "placed")
+    ends = placed.groupBy("bucket", "block").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    several = written(ends.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1"), "several")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        row = F.struct("node", "component", *(c for c in carried.columns if c != "node"))
+        held = F.collect_list(row).alias("members"), F.min("component").alias("first"), F.max("component").alias("last")
+        return rows.join(carried, "node").groupBy("bucket", "block").agg(*held)
+
+    own = packed(placed).filter("first < last").select("bucket", F.col("members").alias("left_members"))
+    own = own.withColumn("right_members", F.lit(None).cast(own.schema["left_members"].dataType))
+    if several.isEmpty():
+        return own, [placed, several]
+    blocks = written(packed(placed.join(several, "bucket", "left_semi")), "blocks")
+    ends = blocks.select("bucket", "block", "first", "last")
     left = ends.select("bucket", F.col("block").alias("one"), F.col("first").alias("first_one"), F.col("last").alias("last_one"))
     right = ends.select("bucket", F.col("block").alias("two"), F.col("first").alias("first_two"), F.col("last").alias("last_two"))
-    differ = "one <= two AND NOT (first_one = last_one AND first_two = last_two AND first_one = first_two)"
+    differ = "one < two AND NOT (first_one = last_one AND first_two = last_two AND first_one = first_two)"
     pairs = left.join(right, "bucket").filter(differ).select("bucket", "one", "two")
-    meetings = (
-        pairs.join(packed.select("bucket", F.col("block").alias("one"), F.col("members").alias("left_members")), ["bucket", "one"])
-        .join(packed.select("bucket", F.col("block").alias("two"), F.col("members").alias("right_members")), ["bucket", "two"])
+    crossed = (
+        pairs.join(blocks.select("bucket", F.col("block").alias("one"), F.col("members").alias("left_members")), ["bucket", "one"])
+        .join(blocks.select("bucket", F.col("block").alias("two"), F.col("members").alias("right_members")), ["bucket", "two"])
         .select("bucket", "left_members", "right_members")
     )
-    return meetings, packed
+    return own.unionByName(crossed), [placed, several, blocks]
 
 
 def _blocks(weight: Column) -> Column:
@@ -326,24 +330,31 @@ def _blocks(weight: Column) -> Column:
 class _Members:
     """One side of the meetings of a batch, as flat arrays with the span of each row."""
 
-    def __init__(self, batch: pa.RecordBatch, name: str) -> None:
+    def __init__(self, batch: pa.RecordBatch, name: str, width: int) -> None:
         lists = batch.column(name)
-        ends = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
-        self._ends = ends.tolist()
-        self._values = lists.flatten()
-        self.nodes = self._values.field("node").to_numpy(zero_copy_only=False)
-        self.groups = self._values.field("component").to_numpy(zero_copy_only=False)
+        self._ends = [0, *np.cumsum([n or 0 for n in pc.list_value_length(lists).to_pylist()]).tolist()]
+        values = lists.flatten()
+        self._values = values
+        self.nodes = values.field("node").to_numpy(zero_copy_only=False)
+        self.groups = values.field("component").to_numpy(zero_copy_only=False)
+        self.signs = _bytes(values.field("signature"), width)
 
     def span(self, row: int) -> slice:
         return slice(self._ends[row], self._ends[row + 1])
 
-    def fixed(self, name: str, width: int) -> np.ndarray:
-        return _bytes(self._values.field(name), width)
-
     def numbers(self, name: str, at: int, number: type) -> np.ndarray:
         return np.frombuffer(self._values.field(name)[at].as_buffer(), number)
 
 
+def _met(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, tuple[_Members, slice, _Members, slice]]]:
+    """Both sides of each row; a row without right members meets itself."""
+    left, right = _Members(batch, "left_members", width), _Members(batch, "right_members", width)
+    itself = pc.is_null(batch.column("right_members")).to_pylist()
+    for row in range(batch.num_rows):
+        a = left.span(row)
+        yield row, ((left, a, left, a) if itself[row] else (left, a, right, right.span(row)))
+
+
 def _alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     if not _sizes_fit(len(x), len(y), similarity):
         return False

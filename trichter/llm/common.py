@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,10 +64,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced.
 
-    It does so when the driver collects its garbage, which a driver with little to do rarely does.
+    It does so when the driver collects its garbage, which a driver with little to do rarely does,
+    and a moment later: the next step would write its own files before these are gone.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def row_key(id_column: str, text: str) -> Column:

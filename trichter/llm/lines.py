@@ -116,8 +116,9 @@ def similar_lines(source: DataFrame, similarity: int) -> DataFrame:
     """``node, component`` of the lines (``node, line``) that are like a different one."""
 
     def describe(wanted: DataFrame) -> DataFrame:
+        # Equal lines come one after the other, so a task describes them once.
         found = source.join(wanted, "node", "left_semi")
-        return found.mapInArrow(_describe, "node long, minima binary, hashes binary").dropDuplicates(["node"])
+        return found.mapInArrow(_describe, "node long, minima binary, hashes binary")
 
     return linked_components(
         source.mapInArrow(_enter, ENTRIES), describe, union_find, similarity=similarity, minima=BANDS * ROWS, number=np.uint32

@@ -38,7 +38,7 @@ def near_duplicates(
     One pass over the texts computes 200 universal hash minima per document. Documents of equal
     sets form a class, and one of each class goes on. 40 bands of five minima put two documents of
     75 % into a common bucket with a chance of 0.99998. Pairs of a bucket are screened by their
-    signatures (six standard deviations below the bound) and confirmed on their full sets. Not all
+    signatures (five standard deviations below the bound) and confirmed on their full sets. Not all
     pairs of a bucket are made: a document first meets the smallest one of its buckets, then one
     of another component, and only members that are still in different components meet one
     another, in blocks. So a large group of copies costs a few comparisons per member, while no
