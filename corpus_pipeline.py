@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trichter.llm.common import free_shuffles, read_table, row_key, written
+from trichter.llm.common import free_shuffles, joined_by_frequency, read_table, written
 from trichter.llm.contamination import find_contamination
 from trichter.llm.lines import dedup_lines
 from trichter.llm.near_duplicates import near_duplicates
@@ -34,17 +34,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group of near copies stays: the one of smallest id, null ids last.
+
+    Rows are numbered first, so rows that share an id, or have none, are documents of their own.
+    """
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("doc")), "near-rows")
+    found = near_duplicates(numbered.select("number", F.col("doc.text").alias("text")), id_col="number")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "number").alias("place")
+    ids = numbered.select("number", F.col("doc.doc_id").alias("id"))
+    members = written(found.join(ids, "number").select("component_id", place), "near-members")
+    firsts = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = joined_by_frequency(members, ["component_id"], firsts).filter("place <> first").select("place.number")
+    return numbered.join(gone, "number", "left_anti").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Rows are told apart by id and text."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    found = find_contamination(keyed, read_table(spark, sf_dir, "benchmark"), id_col="_key")
-    gone = found.select(F.col("_key").alias("_gone")).distinct()
-    return keyed.join(gone, keyed["_key"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go. Rows are told apart by 128 bits of id and text."""
+    doc_id = F.col("doc_id").cast("string")
+    key = F.concat_ws(" ", F.xxhash64(doc_id, "text"), F.xxhash64(F.lit(1), doc_id, "text")).alias("key")
+    keyed = docs.select(key, F.col("text"), F.struct("*").alias("doc"))
+    found = find_contamination(keyed.select("key", "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
+    return keyed.join(found.select("key"), "key", "left_anti").select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
