@@ -604,6 +604,26 @@ S["clean_bookings"] = statement(
     SELECT booking_id, hotel_id, day AS booking_date, {_TITLE.format('travel_type')} AS travel_type,
            {eur('cents')} AS revenue FROM sales"""
 )
+FAULTY = {
+    "keyed": "SELECT *, booking_id::BIGINT AS k FROM sales",
+    "faulty": f"""
+        SELECT booking_id,
+               CASE WHEN k % 89 = 0 THEN NULL WHEN k % 83 = 0 THEN 'X' || hotel_id ELSE hotel_id END AS hotel_id,
+               CASE WHEN k % 79 <> 0 THEN day END AS booking_date,
+               {_TITLE.format("if(k % 2 = 0, lower(travel_type), travel_type)")} AS travel_type,
+               CASE WHEN k % 47 = 0 THEN -cents ELSE cents END AS cents
+        FROM keyed""",
+}
+S["repair_bookings"] = statement(
+    f"SELECT booking_id, hotel_id, booking_date, travel_type, {eur('greatest(cents, 0)')} AS revenue FROM faulty", **FAULTY
+)
+S["orphan_bookings"] = statement(
+    """
+    SELECT booking_id, hotel_id, booking_date, travel_type
+    FROM faulty WHERE NOT EXISTS (SELECT 1 FROM dim WHERE dim.hotel_id = faulty.hotel_id)""",
+    **FAULTY,
+)
+S["clean_entities"] = statement("SELECT hotel_id, country, region, hotel_category FROM dim")
 S["repair_tables"] = statement(
     f"""
     SELECT campaign_id, hotel_id, date, campaign_type, impressions, vc AS clicks, vl AS leads, {eur('fk')} AS cost
@@ -752,9 +772,11 @@ _ASKED = {
                    'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS q
         FROM conversations WHERE role = 'user'""",
 }
+_INTENT = f"""CASE {' '.join(f"WHEN {test} THEN '{intent}'" for test, intent in _INTENTS)} ELSE 'unmatched' END"""
+S["question_tags"] = statement(f"SELECT conv_id, turn, {_INTENT} AS intent FROM asked", **_ASKED)
 S["question_intents"] = statement(
     f"""
-    SELECT CASE {' '.join(f"WHEN {test} THEN '{intent}'" for test, intent in _INTENTS)} ELSE 'unmatched' END AS intent,
+    SELECT {_INTENT} AS intent,
            count(*) AS n
     FROM asked GROUP BY 1""",
     **_ASKED,

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from trichter.operators.quality import quality_report
 from trichter.plans.catalogue import ANALYSES, query
 from trichter.plans.registered import STAR_PARAMS
 from trichter.plans.trends import trend_runs
@@ -97,3 +98,10 @@ def test_top_k_per_group_is_limited_before_its_shuffle(tables):
         assert plan(query(name, tables, STAR_PARAMS)).count("WindowGroupLimit") == 2
     for name in ("anomalies_total", "volatility_total", "rising_cost_falling_leads_strict"):
         assert "TakeOrderedAndProject" in plan(query(name, tables, STAR_PARAMS))
+
+
+def test_quality_report_scans_each_fact_once(spark, tables):
+    text = main_plan(plan(quality_report(tables)))
+    scans = [line.split("FileScan parquet [")[1].split("]")[0] for line in text.split("\n") if "FileScan parquet [" in line]
+    assert sum("impressions" in scan for scan in scans) == 1
+    assert sum("booking_id" in scan for scan in scans) == 1

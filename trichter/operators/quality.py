@@ -96,17 +96,62 @@ def orphan_counts(tables: FunnelTables) -> DataFrame:
     )
 
 
+def _fact_report(
+    fact: DataFrame, table: str, checks: dict[tuple[str, str], Column], entities: DataFrame, unique: str | None = None
+) -> DataFrame:
+    """Row checks, orphans and, with ``unique``, duplicates of a fact, from one scan and one shuffle.
+
+    Every row counts under its entity and under its unique key. Both kinds of keys are pre-aggregated
+    in one shuffle, so a frequent entity, or a mass of null ids, is one row per task. The grouped rows
+    then meet the known entities once, and all counters follow in one last aggregate.
+    """
+    flags = [test.alias(f"c{i}") for i, test in enumerate(checks.values())]
+    keys = [F.struct(F.lit("entity").alias("kind"), F.col("hotel_id").cast("string").alias("key"))]
+    if unique is not None:
+        keys.append(F.struct(F.lit("unique").alias("kind"), F.col(unique).cast("string").alias("key")))
+    grouped = (
+        fact.select(*flags, F.inline(F.array(*keys)))
+        .groupBy("kind", "key")
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(checks))])
+    )
+    known = entities.select(F.lit("entity").alias("kind"), F.col("hotel_id").cast("string").alias("key"), F.lit(True).alias("known"))
+    met = grouped.join(known.distinct(), ["kind", "key"], "left")
+    entity = F.col("kind") == "entity"
+    counts = {key: F.when(entity, F.col(f"c{i}")) for i, key in enumerate(checks)}
+    if unique is not None:
+        counts["duplicate", unique] = F.when(~entity, F.col("rows") - 1)
+    counts["orphan", "hotel_id"] = F.when(entity & F.col("known").isNull(), F.col("rows"))
+    row = met.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(f"n{i}") for i, n in enumerate(counts.values())])
+    entries = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(table).alias("table"),
+            F.lit(column).alias("column"),
+            F.col(f"n{i}").alias("n"),
+        )
+        for i, (check, column) in enumerate(counts)
+    ]
+    return row.select(F.inline(F.array(*entries)))
+
+
 def quality_report(tables: FunnelTables) -> DataFrame:
-    """All checks as rows of (check, table, column, n); missing values only where there are any."""
+    """All checks as rows of (check, table, column, n); missing values only where there are any.
+
+    Each fact is scanned once.
+    """
     spend, conversions, entities = tables.spend, tables.conversions, tables.entities
     parts = [
-        _counters(
-            _staged(spend), TABLE_NAMES["spend"], {**_missing(spend), **_nonpositive(spend), **_invalid()}
+        _fact_report(
+            _staged(spend), TABLE_NAMES["spend"], {**_missing(spend), **_nonpositive(spend), **_invalid()}, entities
+        ),
+        _fact_report(
+            conversions,
+            TABLE_NAMES["conversions"],
+            {**_missing(conversions), **_nonpositive(conversions)},
+            entities,
+            unique="booking_id",
         ),
-        _counters(conversions, TABLE_NAMES["conversions"], {**_missing(conversions), **_nonpositive(conversions)}),
         _counters(entities, TABLE_NAMES["entities"], _missing(entities)),
-        duplicate_count(conversions, TABLE_NAMES["conversions"], "booking_id"),
-        orphan_counts(tables),
     ]
     return reduce(DataFrame.unionAll, parts).where((F.col("check") != "missing") | (F.col("n") > 0))
 

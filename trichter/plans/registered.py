@@ -13,7 +13,7 @@ from trichter.functions.numbers import money, rounded
 from trichter.operators import quality
 from trichter.operators.calendar import dense_grid, month_calendar, month_spine
 from trichter.operators.cleaning import clean_tables, repair_tables
-from trichter.operators.questions import filter_result, intent_counts, with_slots
+from trichter.operators.questions import filter_result, intent_counts, tag_intent, with_slots
 from trichter.operators.rollup import conversions_by
 from trichter.operators.tiles import with_ntiles
 from trichter.plans.anomalies import kpi_zscores
@@ -26,7 +26,7 @@ from trichter.plans.segments import entity_totals
 from trichter.plans.series import with_month_name
 from trichter.plans.trends import SERIES, trend_runs
 from trichter.plans.volatility import lead_spread
-from trichter.sources.star import questions, read_star, star_tables, untidy_star_tables
+from trichter.sources.star import faulty_star_tables, questions, read_star, star_tables, untidy_star_tables
 from trichter.sources.tables import FunnelTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def _on_untidy(build: Callable[[FunnelTables], DataFrame]) -> Query:
     return lambda spark, folder: build(clean_tables(untidy_star_tables(spark, folder)))
 
 
+def _on_faulty(build: Callable[[FunnelTables], DataFrame]) -> Query:
+    return lambda spark, folder: build(clean_tables(faulty_star_tables(spark, folder)))
+
+
 def _in_money(df: DataFrame) -> DataFrame:
     """Cents columns as currency amounts."""
     for name in [c for c in df.columns if c.endswith("_cents")]:
@@ -142,6 +146,11 @@ QUERIES: dict[str, Query] = {
     "clean_bookings": _on_untidy(lambda t: t.conversions.withColumn("revenue", F.col("revenue").cast("double"))),
     "repair_tables": _on_untidy(lambda t: repair_tables(t).spend.withColumn("cost", F.col("cost").cast("double"))),
     "orphan_rows": _on_untidy(lambda t: quality.orphan_rows(t.spend, t.entities).drop("cost")),
+    "repair_bookings": _on_faulty(
+        lambda t: repair_tables(t).conversions.withColumn("revenue", F.col("revenue").cast("double"))
+    ),
+    "orphan_bookings": _on_faulty(lambda t: quality.orphan_rows(t.conversions, t.entities).drop("revenue")),
+    "clean_entities": _on_faulty(lambda t: t.entities),
     "quality_missing": _on_untidy(quality.missing_counts),
     "quality_duplicates": _on_untidy(
         lambda t: quality.duplicate_count(t.conversions, "booking_data", "booking_id")
@@ -153,6 +162,9 @@ QUERIES: dict[str, Query] = {
     "table_summary": _on_untidy(quality.table_summary),
     "filter_result": lambda spark, folder: filter_result(_analysis("segments_by_year")(spark, folder), year=2000),
     "question_slots": lambda spark, folder: with_slots(questions(spark, folder)).drop("text"),
+    "question_tags": lambda spark, folder: tag_intent(
+        questions(spark, folder), focus_entity=STAR_PARAMS.entity_id
+    ).select("conv_id", "turn", "intent"),
     "question_intents": lambda spark, folder: intent_counts(
         questions(spark, folder), focus_entity=STAR_PARAMS.entity_id
     ),

@@ -115,6 +115,30 @@ def untidy_star_tables(spark: SparkSession, folder: str) -> FunnelTables:
     return FunnelTables(spend, conversions, entities)
 
 
+def faulty_star_tables(spark: SparkSession, folder: str) -> FunnelTables:
+    """The untidy tables with faults planted in bookings and entities too."""
+    untidy = untidy_star_tables(spark, folder)
+    key = F.col("booking_id").cast("bigint")
+    day = F.when(key % 3 == 0, F.date_format("booking_date", "dd.MM.yyyy")).otherwise(F.col("booking_date").cast("string"))
+    conversions = _conversions(spark, folder).select(
+        F.col("booking_id").alias("Booking ID"),
+        F.when(key % 89 == 0, F.lit(None))
+        .when(key % 83 == 0, F.concat(F.lit("X"), F.col("hotel_id")))
+        .otherwise(F.col("hotel_id"))
+        .alias(" Hotel ID"),
+        F.when(key % 79 == 0, F.lit("soon")).otherwise(day).alias("Booking Date"),
+        F.when(key % 2 == 0, F.concat(F.lit("\t"), F.lower("travel_type"), F.lit(" "))).otherwise(F.col("travel_type")).alias("TravelType"),
+        F.when(key % 47 == 0, -F.col("revenue")).otherwise(F.col("revenue")).cast(MONEY).alias(" Revenue"),
+    )
+    entities = _entities(spark, folder).select(
+        F.col("hotel_id").cast("bigint").alias("Hotel ID "),
+        F.col("country").alias("Country"),
+        F.col("region").alias(" Region"),
+        F.concat(F.lit(" "), F.lower("hotel_category"), F.lit("\t")).alias("Hotel Category"),
+    )
+    return FunnelTables(untidy.spend, conversions, entities)
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """User turns of a conversation log: ``conv_id``, ``turn``, ``text``."""
     log = read_star(spark, folder, "conversations")
