@@ -9,6 +9,7 @@ import pytest
 from trichter.operators.quality import quality_report
 from trichter.plans.catalogue import ANALYSES, query
 from trichter.plans.registered import STAR_PARAMS
+from trichter.plans.segments import entity_totals
 from trichter.plans.trends import trend_runs
 from trichter.sources.star import star_tables
 from trichter.sources.tables import load_tables, write_tables
@@ -105,3 +106,20 @@ def test_quality_report_scans_each_fact_once(spark, tables):
     scans = [line.split("FileScan parquet [")[1].split("]")[0] for line in text.split("\n") if "FileScan parquet [" in line]
     assert sum("impressions" in scan for scan in scans) == 1
     assert sum("booking_id" in scan for scan in scans) == 1
+
+
+@pytest.mark.parametrize("name", ["moving_average_trends", "longest_trend_runs", "december_snapshot_trend", "segments_by_year"])
+def test_calendars_start_from_the_sums(spark, tables, name):
+    """One scan per fact: the calendar and the series read the same exchange of sums."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else reuse shows only as the query runs
+    try:
+        if name == "segments_by_year":
+            text = plan(entity_totals(tables.spend, tables.conversions, tables.entities, by_year=True))
+        else:
+            text = plan(query(name, tables, STAR_PARAMS))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = [line for line in text.split("\n") if "FileScan parquet" in line]
+    assert sum("campaign_performance" in line for line in scans) == 1
+    assert sum("booking_data" in line for line in scans) == 1
+    assert "ReusedExchange" in text

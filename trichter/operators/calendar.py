@@ -40,12 +40,9 @@ def month_spine(spend: DataFrame, conversions: DataFrame) -> DataFrame:
     return month_calendar(spend, conversions).select(F.explode("calendar").alias("month"))
 
 
-def year_calendar(spend: DataFrame, conversions: DataFrame) -> DataFrame:
-    """One row, one column ``calendar``: the years that occur in either fact."""
-    years = spend.select(F.year("date").cast("long").alias("year")).unionAll(
-        conversions.select(F.year("booking_date").cast("long").alias("year"))
-    )
-    return years.agg(F.collect_set("year").alias("calendar"))
+def years_in(totals: DataFrame) -> DataFrame:
+    """One row, one column ``calendar``: the values of ``year`` that occur in ``totals``."""
+    return totals.agg(F.collect_set("year").alias("calendar"))
 
 
 def dense_grid(entities: DataFrame, calendar: DataFrame, name: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from trichter.functions.dates import with_period
 from trichter.functions.numbers import money, or_zero, ratio, rounded
-from trichter.operators.calendar import dense_grid, year_calendar
+from trichter.operators.calendar import dense_grid, years_in
 from trichter.operators.ordering import ascending, descending
 from trichter.operators.rollup import VOLUMES, funnel_rollup, with_attributes
+from trichter.operators.sharing import every_column
 from trichter.operators.tiles import with_ntiles
 
 # Lowest score of each segment, and the segment of entities without leads.
@@ -24,16 +25,25 @@ def entity_totals(
     spend: DataFrame, conversions: DataFrame, entities: DataFrame, by_year: bool = False
 ) -> DataFrame:
     """Zero-filled totals of every known entity, optionally for every year that occurs."""
+    measures = [*VOLUMES, "cost_cents", "bookings", "revenue_cents"]
     if by_year:
+        # The facts are summed first; the years that occur and the grid over them start from the sums.
         keys = ["hotel_id", "year"]
-        spine = dense_grid(entities, year_calendar(spend, conversions), "year")
-        spend = with_period(spend, "date", "year")
-        conversions = with_period(conversions, "booking_date", "year")
+        summed = every_column(
+            funnel_rollup(
+                with_period(spend, "date", "year"), with_period(conversions, "booking_date", "year"), keys, full=True
+            ).select(*keys, *measures)
+        )
+        grid = dense_grid(entities, years_in(summed), "year").withColumn("from_spine", F.lit(True))
+        stacked = summed.unionByName(grid, allowMissingColumns=True)
+        totals = stacked.groupBy(*keys).agg(
+            *[F.sum(name).alias(name) for name in measures], F.max("from_spine").alias("from_spine")
+        )
     else:
         keys = ["hotel_id"]
         spine = entities.where(F.col("hotel_id").isNotNull()).select("hotel_id")
-    totals = funnel_rollup(spend, conversions, keys, spine).where("from_spine")
-    measures = [*VOLUMES, "cost_cents", "bookings", "revenue_cents"]
+        totals = funnel_rollup(spend, conversions, keys, spine)
+    totals = totals.where("from_spine")
     return totals.select(*keys, *[or_zero(F.col(name)).alias(name) for name in measures]).withColumn(
         "conversion_rate", ratio(F.col("bookings"), F.col("leads"))
     )

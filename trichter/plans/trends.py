@@ -13,6 +13,7 @@ from trichter.operators.calendar import dense_grid, months_between
 from trichter.operators.islands import with_run_lengths, with_runs
 from trichter.operators.ordering import ascending, by_entity, descending
 from trichter.operators.rollup import funnel_rollup, with_attributes
+from trichter.operators.sharing import every_column
 
 # Trend labels as they appear in the results.
 NOT_POSSIBLE = "Trend not possible"
@@ -34,13 +35,15 @@ def labelled_months(
     ``in_order`` lays the series out by ranges of entities instead of hashes, so that a caller
     that returns all of it in entity order needs no further shuffle.
     """
-    totals = funnel_rollup(
-        with_period(spend, "date", "month"),
-        with_period(conversions, "booking_date", "month"),
-        ["hotel_id", "month"],
-        bookings=False,
-        full=True,  # rows without an entity count for the calendar; the grid leaves them out
-    ).select("hotel_id", "month", "leads", "revenue_cents", F.lit(False).alias("in_grid"))
+    totals = every_column(  # read twice, for the series and for its calendar
+        funnel_rollup(
+            with_period(spend, "date", "month"),
+            with_period(conversions, "booking_date", "month"),
+            ["hotel_id", "month"],
+            bookings=False,
+            full=True,  # rows without an entity count for the calendar; the grid leaves them out
+        ).select("hotel_id", "month", "leads", "revenue_cents")
+    ).withColumn("in_grid", F.lit(False))
     grid = dense_grid(entities, months_between(totals, "month"), "month").withColumn("in_grid", F.lit(True))
     stacked = totals.unionByName(grid, allowMissingColumns=True).withColumn(
         "entity_number", F.col("hotel_id").try_cast("bigint")
