@@ -794,4 +794,31 @@ S["question_slots"] = statement(
     **_ASKED,
 )
 
+# ---------------------------------------------------------------- stored tables and rollups
+
+S["stored_round_trip"] = statement(
+    f"""
+    SELECT 'spend' AS "table", hotel_id, campaign_id AS id, day, campaign_type AS kind, leads, {eur('cents')} AS amount
+    FROM ads
+    UNION ALL SELECT 'conversions', hotel_id, booking_id, day, travel_type, NULL, {eur('cents')} FROM sales
+    UNION ALL SELECT 'entities', hotel_id, country, NULL, hotel_category, NULL, NULL FROM dim"""
+)
+
+
+def _counted(name: str, entity: str, period: str, bookings: str, revenue: str, label: str) -> str:
+    return f"""SELECT '{name}' AS analysis, {entity} AS hotel_id, ({period})::VARCHAR AS period,
+        {bookings} AS bookings, {revenue} AS revenue, {label} AS label FROM ({S[name]})"""
+
+
+S["catalogue_from_rollups"] = " UNION ALL ".join(
+    [
+        _counted("segments_total", "hotel_id", "'all'", "total_bookings", "total_revenue", "segment_category"),
+        _counted("segments_by_year", "hotel_id", "year", "total_bookings", "total_revenue", "segment_category"),
+        _counted("anomalies_total", "hotel_id", "month", "bookings", "revenue", "anomaly"),
+        _counted("anomalies_by_year", "hotel_id", "month", "bookings", "revenue", "anomaly"),
+        *[_counted("executive_summary", "NULL", str(y), f"bookings_{y}", f"revenue_{y}", "NULL") for y in (Y0, Y1)],
+        *[_counted("entity_year_comparison", "hotel_id", str(y), f"bookings_{y}", f"revenue_{y}", "NULL") for y in (Y0, Y1)],
+    ]
+)
+
 STATEMENTS: dict[str, str] = S

@@ -9,15 +9,23 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tests.helpers import bookings_table, entity_table, spend_table
 from trichter.__main__ import main
 from trichter.operators.cleaning import clean_tables, repair_tables
 from trichter.operators.quality import quality_report
-from trichter.plans.catalogue import ANALYSES, Params, query, run_catalogue
+from trichter.plans.catalogue import (
+    ANALYSES,
+    ON_MONTHLY_BOOKINGS,
+    ON_MONTHLY_REVENUE,
+    Params,
+    query,
+    run_catalogue,
+)
 from trichter.plans.ingest import ingest
 from trichter.plans.registered import STAR_PARAMS
 from trichter.sources import schemas
 from trichter.sources.star import star_tables, untidy_star_tables
-from trichter.sources.tables import load_tables, write_tables
+from trichter.sources.tables import FunnelTables, load_tables, write_tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -151,10 +159,44 @@ def test_rollups_change_nothing(spark, stored, tmp_path):
     tables = load_tables(spark, stored)
     rolled = tables.with_rollups(str(tmp_path))
     assert rolled.monthly_spend.count() < tables.spend.count()
+    assert rolled.monthly_bookings.count() <= tables.conversions.count()
     for name in ANALYSES:
         assert rows(query(name, tables, STAR_PARAMS)) == rows(query(name, rolled, STAR_PARAMS)), name
 
 
+def test_a_booking_spread_over_months_counts_once_a_year(spark, tmp_path):
+    bookings = bookings_table(
+        spark,
+        [
+            ("b1", "1", "2024-01-31", 10),
+            ("b1", "1", "2024-02-01", 5),
+            ("b1", "2", "2024-02-01", 7),
+            ("b2", "1", "2024-02-02", "0.01"),
+            ("b2", "1", "2024-02-03", "0.02"),
+            (None, "1", "2024-02-03", 4),
+            ("b3", None, "2024-02-03", 3),
+            ("b4", "1", None, 2),
+        ],
+    )
+    spend = spend_table(spark, [("1", "2024-01-05", 10, 5, 2, 3), ("2", "2024-02-05", 10, 5, 1, 3)])
+    tables = FunnelTables(spend, bookings, entity_table(spark, ["1", "2"]))
+    rolled = tables.with_rollups(str(tmp_path))
+    assert rolled.monthly_bookings.count() == 7
+    for name in ("segments_total", "segments_by_year", "executive_summary", "anomalies_total"):
+        params = Params(years=(2023, 2024), entity_id="1")
+        assert rows(query(name, rolled, params)) == rows(query(name, tables, params)), name
+    first = query("segments_total", rolled).where("hotel_id = '1'").first()
+    assert (first.total_bookings, first.total_revenue) == (3, 21.03)
+
+
+def test_a_catalogue_scans_raw_bookings_once(spark, stored, tmp_path):
+    """Every analysis that counts bookings reads their rollup."""
+    rolled = load_tables(spark, stored).with_rollups(str(tmp_path))
+    for name in ON_MONTHLY_BOOKINGS | ON_MONTHLY_REVENUE:
+        files = query(name, rolled, STAR_PARAMS).inputFiles()
+        assert not any("booking_data" in f or "campaign_performance" in f for f in files), name
+
+
 def test_unknown_analysis(spark, stored):
     with pytest.raises(KeyError, match="monthly_kpis"):
         query("nope", load_tables(spark, stored), Params())

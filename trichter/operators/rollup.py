@@ -112,6 +112,25 @@ def compact_revenue(conversions: DataFrame) -> DataFrame:
     )
 
 
+def compact_bookings(conversions: DataFrame) -> DataFrame:
+    """The conversion fact reduced to one row per entity, month and booking id, still shaped like a
+    conversion fact.
+
+    Distinct bookings per month do not add up to those of a year, their ids do: every analysis at
+    month grain or coarser counts the same bookings on this frame as on the raw fact. A booking id
+    is part of the key, so a hot entity is spread over its bookings. Rows without a booking id keep
+    their revenue.
+    """
+    monthly = (
+        with_period(conversions, "booking_date", "month")
+        .groupBy("hotel_id", "month", "booking_id")
+        .agg(F.sum(cents(F.col("revenue"))).alias("revenue_cents"))
+    )
+    return monthly.select(
+        "booking_id", "hotel_id", F.col("month").alias("booking_date"), _amount("revenue_cents").alias("revenue")
+    )
+
+
 def _amount(cents_column: str) -> Column:
     return (F.col(cents_column).cast("decimal(20,0)") / 100).cast(MONEY)
 

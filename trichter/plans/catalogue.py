@@ -35,8 +35,8 @@ class Params:
 Analysis = Callable[[FunnelTables, Params], DataFrame]
 
 # Only the weekly series needs days; the period slice of one entity reads too little to gain
-# from a rollup. All other analyses accept the monthly rollup of the spend fact, and those
-# without bookings the one of revenue.
+# from a rollup. All other analyses accept the monthly rollup of the spend fact, and either the one
+# of bookings or, if they count none, the one of revenue.
 ANALYSES: dict[str, Analysis] = {
     "monthly_kpis": lambda t, p: monthly_kpis(t.spend_by_month, t.entities),
     "rising_cost_falling_leads_strict": lambda t, p: rising_cost_falling_leads(t.spend_by_month, t.entities, True),
@@ -44,17 +44,17 @@ ANALYSES: dict[str, Analysis] = {
     "moving_average_trends": lambda t, p: moving_average_trends(t.spend_by_month, t.revenue_by_month, t.entities),
     "longest_trend_runs": lambda t, p: longest_trend_runs(t.spend_by_month, t.revenue_by_month, t.entities),
     "december_snapshot_trend": lambda t, p: month_snapshot_trend(t.spend_by_month, t.revenue_by_month, t.entities),
-    "segments_total": lambda t, p: segment_entities(t.spend_by_month, t.conversions, t.entities),
-    "segments_by_year": lambda t, p: segment_entities(t.spend_by_month, t.conversions, t.entities, by_year=True),
+    "segments_total": lambda t, p: segment_entities(t.spend_by_month, t.bookings_by_month, t.entities),
+    "segments_by_year": lambda t, p: segment_entities(t.spend_by_month, t.bookings_by_month, t.entities, by_year=True),
     "series_monthly": lambda t, p: compare_monthly_series(t.spend_by_month, t.revenue_by_month, p.years),
     "series_weekly": lambda t, p: compare_weekly_series(t.spend, t.conversions, p.years),
-    "anomalies_total": lambda t, p: detect_anomalies(t.spend_by_month, t.conversions, t.entities),
-    "anomalies_by_year": lambda t, p: detect_anomalies(t.spend_by_month, t.conversions, t.entities, by_year=True),
+    "anomalies_total": lambda t, p: detect_anomalies(t.spend_by_month, t.bookings_by_month, t.entities),
+    "anomalies_by_year": lambda t, p: detect_anomalies(t.spend_by_month, t.bookings_by_month, t.entities, by_year=True),
     "volatility_total": lambda t, p: lead_volatility(t.spend_by_month, t.entities),
     "volatility_by_year": lambda t, p: lead_volatility(t.spend_by_month, t.entities, by_year=True),
-    "executive_summary": lambda t, p: executive_summary(t.spend_by_month, t.conversions, p.years),
+    "executive_summary": lambda t, p: executive_summary(t.spend_by_month, t.bookings_by_month, p.years),
     "entity_year_comparison": lambda t, p: entity_year_comparison(
-        t.spend_by_month, t.conversions, t.entities, p.years, p.entity_id
+        t.spend_by_month, t.bookings_by_month, t.entities, p.years, p.entity_id
     ),
     "entity_period_kpis": lambda t, p: entity_period_kpis(
         t.spend, t.conversions, t.entities, p.entity_id, *p.period, p.compare
@@ -67,6 +67,16 @@ ON_MONTHLY_SPEND = frozenset(ANALYSES) - {"series_weekly", "entity_period_kpis"}
 ON_MONTHLY_REVENUE = frozenset(
     {"moving_average_trends", "longest_trend_runs", "december_snapshot_trend", "series_monthly"}
 )
+ON_MONTHLY_BOOKINGS = frozenset(
+    {
+        "segments_total",
+        "segments_by_year",
+        "anomalies_total",
+        "anomalies_by_year",
+        "executive_summary",
+        "entity_year_comparison",
+    }
+)
 
 
 def query(name: str, tables: FunnelTables, params: Params = Params()) -> DataFrame:
@@ -93,6 +103,7 @@ def run_catalogue(
         f"{out_dir.rstrip('/')}/_rollups",
         spend=not ON_MONTHLY_SPEND.isdisjoint(chosen),
         revenue=not ON_MONTHLY_REVENUE.isdisjoint(chosen),
+        bookings=not ON_MONTHLY_BOOKINGS.isdisjoint(chosen),
     )
     folders = []
     for name in chosen:

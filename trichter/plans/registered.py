@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trichter.functions.dates import with_period
@@ -27,7 +28,8 @@ from trichter.plans.series import with_month_name
 from trichter.plans.trends import SERIES, trend_runs
 from trichter.plans.volatility import lead_spread
 from trichter.sources.star import faulty_star_tables, questions, read_star, star_tables, untidy_star_tables
-from trichter.sources.tables import FunnelTables
+from trichter.session import shared_folder
+from trichter.sources.tables import FunnelTables, load_tables, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +120,76 @@ def _windows(strict: bool) -> Query:
     )
 
 
+def _stored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the three tables, written clustered and read back."""
+    path = shared_folder(spark, "stored")
+    write_tables(star_tables(spark, folder), path)
+    stored = load_tables(spark, path)
+    nothing = F.lit(None)
+    return (
+        stored.spend.select(
+            F.lit("spend").alias("table"),
+            "hotel_id",
+            F.col("campaign_id").alias("id"),
+            F.col("date").alias("day"),
+            F.col("campaign_type").alias("kind"),
+            "leads",
+            F.col("cost").cast("double").alias("amount"),
+        )
+        .unionAll(
+            stored.conversions.select(
+                F.lit("conversions"),
+                "hotel_id",
+                "booking_id",
+                "booking_date",
+                "travel_type",
+                nothing.cast("bigint"),
+                F.col("revenue").cast("double"),
+            )
+        )
+        .unionAll(
+            stored.entities.select(
+                F.lit("entities"),
+                "hotel_id",
+                "country",
+                nothing.cast("date"),
+                "hotel_category",
+                nothing.cast("bigint"),
+                nothing.cast("double"),
+            )
+        )
+    )
+
+
+def _bookings_from_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings and revenue in the six analyses that count bookings, run on stored rollups."""
+    tables = star_tables(spark, folder).with_rollups(shared_folder(spark, "rollups"), revenue=False)
+    nobody, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+
+    def part(name: str, entity: Column, period: Column, bookings: str, revenue: str, label: Column) -> DataFrame:
+        return run(name, tables, STAR_PARAMS).select(
+            F.lit(name).alias("analysis"),
+            entity.alias("hotel_id"),
+            period.cast("string").alias("period"),
+            F.col(bookings).alias("bookings"),
+            F.col(revenue).alias("revenue"),
+            label.alias("label"),
+        )
+
+    hotel, segment = F.col("hotel_id"), F.col("segment_category")
+    parts = [
+        part("segments_total", hotel, F.lit("all"), "total_bookings", "total_revenue", segment),
+        part("segments_by_year", hotel, F.col("year"), "total_bookings", "total_revenue", segment),
+        part("anomalies_total", hotel, F.col("month"), "bookings", "revenue", F.col("anomaly")),
+        part("anomalies_by_year", hotel, F.col("month"), "bookings", "revenue", F.col("anomaly")),
+    ]
+    for year in STAR_PARAMS.years:
+        columns = (f"bookings_{year}", f"revenue_{year}")
+        parts.append(part("executive_summary", nobody, F.lit(year), *columns, label))
+        parts.append(part("entity_year_comparison", hotel, F.lit(year), *columns, label))
+    return reduce(DataFrame.unionAll, parts)
+
+
 QUERIES: dict[str, Query] = {
     **{name: _analysis(name) for name in ANALYSES},
     "series_monthly_named": lambda spark, folder: with_month_name(_analysis("series_monthly")(spark, folder)),
@@ -151,6 +223,8 @@ QUERIES: dict[str, Query] = {
     ),
     "orphan_bookings": _on_faulty(lambda t: quality.orphan_rows(t.conversions, t.entities).drop("revenue")),
     "clean_entities": _on_faulty(lambda t: t.entities),
+    "stored_round_trip": _stored_rows,
+    "catalogue_from_rollups": _bookings_from_rollups,
     "quality_missing": _on_untidy(quality.missing_counts),
     "quality_duplicates": _on_untidy(
         lambda t: quality.duplicate_count(t.conversions, "booking_data", "booking_id")

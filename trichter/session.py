@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,22 @@ def build_session(app_name: str = "trichter", master: str | None = None, **conf:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
+    """Write ``df`` once to the shared checkpoint folder and continue from the written copy."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that all executors reach, below the session's checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode session may fall
-    back to a temporary folder: on a cluster that folder would vanish with its machine.
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set from ``spark.checkpoint.dir`` where it is not yet.
+
+    Only a local-mode session may fall back to a temporary folder: on a cluster that folder
+    would vanish with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,4 +55,4 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="trichter-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

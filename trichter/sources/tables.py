@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from trichter.operators.rollup import compact_revenue, compact_spend
+from trichter.operators.rollup import compact_bookings, compact_revenue, compact_spend
 from trichter.sources import schemas
 
 TABLE_NAMES = {
@@ -28,6 +28,7 @@ class FunnelTables:
     entities: DataFrame
     monthly_spend: DataFrame | None = None
     monthly_revenue: DataFrame | None = None
+    monthly_bookings: DataFrame | None = None
 
     @property
     def spend_by_month(self) -> DataFrame:
@@ -39,18 +40,31 @@ class FunnelTables:
         """The conversion fact at month grain or finer, for analyses that also need no bookings."""
         return self.conversions if self.monthly_revenue is None else self.monthly_revenue
 
-    def with_rollups(self, path: str, spend: bool = True, revenue: bool = True) -> "FunnelTables":
-        """Scan each fact once and keep its monthly rollup, as Parquet below ``path``, for all later analyses."""
+    @property
+    def bookings_by_month(self) -> DataFrame:
+        """The conversion fact with its booking ids at month grain or finer, for analyses that count bookings."""
+        return self.conversions if self.monthly_bookings is None else self.monthly_bookings
+
+    def with_rollups(
+        self, path: str, spend: bool = True, revenue: bool = True, bookings: bool = True
+    ) -> "FunnelTables":
+        """Scan each fact once and keep its monthly rollups, as Parquet below ``path``, for all later analyses.
+
+        With ``bookings``, the rollup of revenue is taken from that of bookings.
+        """
 
         def stored(df: DataFrame, name: str) -> DataFrame:
             location = f"{path.rstrip('/')}/{name}"
             df.write.mode("overwrite").parquet(location)
             return df.sparkSession.read.schema(df.schema).parquet(location)
 
+        monthly_bookings = stored(compact_bookings(self.conversions), "monthly_bookings") if bookings else None
+        sales = self.conversions if monthly_bookings is None else monthly_bookings
         return replace(
             self,
+            monthly_bookings=monthly_bookings,
             monthly_spend=stored(compact_spend(self.spend), "monthly_spend") if spend else None,
-            monthly_revenue=stored(compact_revenue(self.conversions), "monthly_revenue") if revenue else None,
+            monthly_revenue=stored(compact_revenue(sales), "monthly_revenue") if revenue else None,
         )
 
 
