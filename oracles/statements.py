@@ -821,4 +821,59 @@ S["catalogue_from_rollups"] = " UNION ALL ".join(
     ]
 )
 
+S["replaced_months"] = statement(
+    f"""
+    SELECT booking_id, hotel_id, day AS booking_date, travel_type,
+           {eur('if(month(day) <= 3, cents, 0)')} AS revenue FROM sales"""
+)
+
+# ---------------------------------------------------------------- broken lines and date formats
+
+NUMBERED = {"numbered": "SELECT *, booking_id::BIGINT AS k FROM sales"}
+S["csv_accepted_lines"] = statement(
+    f"""
+    SELECT booking_id, hotel_id, day AS booking_date, {_TITLE.format('travel_type')} AS travel_type,
+           {eur('cents')} AS revenue FROM numbered WHERE k % 71 <> 0 AND k % 73 <> 0""",
+    **NUMBERED,
+)
+S["csv_rejected_lines"] = statement(
+    """
+    SELECT booking_id || ',' || hotel_id || if(k % 71 = 0, ',' || strftime(day, '%Y-%m-%d') || ',' || travel_type
+           || ',' || (cents // 100)::VARCHAR || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || ',x', '') AS line
+    FROM numbered WHERE k % 71 = 0 OR k % 73 = 0""",
+    **NUMBERED,
+)
+_PATTERNS = {
+    "dd.MM.yyyy": "%d.%m.%Y",
+    "MM/dd/yyyy": "%m/%d/%Y",
+    "dd/MM/yyyy": "%d/%m/%Y",
+    "dd-MM-yyyy": "%d-%m-%Y",
+    "yyyy/MM/dd": "%Y/%m/%d",
+    "yyyyMMdd": "%Y%m%d",
+}
+DATED = {
+    **NUMBERED,
+    "dated": """
+        SELECT *, CASE WHEN k % 79 = 0 THEN 'soon' ELSE strftime(day, '%d/%m/%Y') END AS written
+        FROM numbered WHERE k % 79 = 0 OR k % 10 <> 0""",
+    "tried": " UNION ALL ".join(
+        f"SELECT '{name}' AS format, {i} AS place, count(try_strptime(written, '{pattern}')) AS parsed, count(*) AS others FROM dated"
+        for i, (name, pattern) in enumerate(_PATTERNS.items())
+    ),
+}
+# Whoever reads the days beyond the twelfth as well reads more than the month-first format: nothing is ambiguous.
+S["date_format_counts"] = statement(
+    """
+    SELECT 'booking_date' AS "column", format, parsed, others, false AS ambiguous,
+           parsed > 0 AND row_number() OVER (ORDER BY parsed DESC, place) = 1 AS chosen
+    FROM tried""",
+    **DATED,
+)
+S["bookings_in_column_format"] = statement(
+    f"""
+    SELECT booking_id, hotel_id, CASE WHEN k % 79 <> 0 THEN day END AS booking_date,
+           {_TITLE.format('travel_type')} AS travel_type, {eur('cents')} AS revenue FROM numbered""",
+    **NUMBERED,
+)
+
 STATEMENTS: dict[str, str] = S

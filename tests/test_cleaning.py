@@ -17,6 +17,7 @@ from trichter.operators.cleaning import (
     repair_spend,
     repair_tables,
 )
+from trichter.operators.date_formats import chosen_formats, date_format_counts
 from trichter.sources.tables import FunnelTables
 
 
@@ -125,3 +126,24 @@ def test_empty_tables_give_zero_counts(spark):
     tables = make(spark)
     empty = FunnelTables(tables.spend.limit(0), tables.conversions.limit(0), tables.entities)
     assert {r.n for r in quality.quality_report(empty).collect()} == {0}
+
+
+def test_the_format_of_a_column(spark):
+    texts = ["03/04/2021", "13/04/2021", "2021-01-01", "soon", "", None, "2021-02-03 10:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "`Date ` string")
+    counts = date_format_counts(df)
+    found = {r.format: (r.parsed, r.others, r.ambiguous) for r in counts.collect() if r.parsed}
+    assert found == {"dd/MM/yyyy": (2, 3, False), "MM/dd/yyyy": (1, 3, False)}
+    days = [r.date for r in clean_table(df, chosen_formats(counts)).collect()]
+    assert days == [date(2021, 4, 3), date(2021, 4, 13), date(2021, 1, 1), None, None, None, date(2021, 2, 3)]
+
+
+def test_formats_that_read_as_many(spark):
+    either = date_format_counts(spark.createDataFrame([("03/04/2021",)], "date string"))
+    assert sorted((r.format, r.chosen) for r in either.where("ambiguous").collect()) == [("MM/dd/yyyy", True), ("dd/MM/yyyy", False)]
+    same = date_format_counts(spark.createDataFrame([("04/04/2021",)], "date string"))
+    assert same.where("ambiguous").count() == 0
+    for nothing in ([], [(None,)], [("soon",)], [("2021-01-01",)]):
+        assert chosen_formats(date_format_counts(spark.createDataFrame(nothing, "date string"))) == {}
+    typed = spark.createDataFrame([(date(2021, 1, 1), 1)], "date date, clicks int")
+    assert date_format_counts(typed).collect() == []

@@ -9,7 +9,7 @@
 from trichter.plans.catalogue import ANALYSES, Params, answer, run_catalogue, query
 from trichter.plans.ingest import ingest
 from trichter.session import build_session, durable
-from trichter.sources.tables import FunnelTables, load_tables, write_tables
+from trichter.sources.tables import FunnelTables, load_tables, publish_tables, replace_months, write_tables
 
 __all__ = [
     "ANALYSES",
@@ -20,7 +20,9 @@ __all__ = [
     "durable",
     "ingest",
     "load_tables",
+    "publish_tables",
     "query",
+    "replace_months",
     "run_catalogue",
     "write_tables",
 ]

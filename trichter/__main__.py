@@ -19,6 +19,8 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     load.add_argument("source")
     load.add_argument("target")
     load.add_argument("--format", default="csv", choices=["csv", "parquet", "orc", "json"])
+    load.add_argument("--find-date-formats", action="store_true")
+    load.add_argument("--by-month", action="store_true")
 
     run = commands.add_parser("run", help="write the result of every named analysis")
     run.add_argument("tables")
@@ -42,7 +44,14 @@ def main(arguments: list[str] | None = None) -> None:
     args = parse(arguments)
     spark = build_session()
     if args.command == "ingest":
-        ingest(spark, args.source, args.target, args.format)
+        ingest(
+            spark,
+            args.source,
+            args.target,
+            args.format,
+            find_date_formats=args.find_date_formats,
+            by_month=args.by_month,
+        )
         return
     params = Params(tuple(args.years), args.entity, tuple(args.period), tuple(args.compare))
     tables = load_tables(spark, args.tables)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Text dates that are understood, ISO with an optional time of day, and these formats.
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 OTHER_FORMATS = ("dd.MM.yyyy", "MM/dd/yyyy")
+# Formats a whole column may be in.
+COLUMN_FORMATS = ("dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd")
 
 
 def coerce_date(value: Column, formats: Iterable[str] = OTHER_FORMATS) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
-from trichter.functions.dates import coerce_date
+from trichter.functions.dates import OTHER_FORMATS, coerce_date
 from trichter.functions.text import stripped, title_case
 from trichter.sources.schemas import MONEY
 from trichter.sources.tables import FunnelTables
@@ -49,28 +49,34 @@ def _number(df: DataFrame, name: str, target: str) -> Column:
     return value.try_cast(target)
 
 
-def _day(df: DataFrame, name: str) -> Column:
+def _day(df: DataFrame, name: str, formats: Iterable[str]) -> Column:
     """Typed dates and timestamps as they are; only text is parsed."""
     kind = df.schema[name].dataType
     if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
         return F.col(name).cast("date")
-    return coerce_date(F.col(name))
+    return coerce_date(F.col(name), formats)
 
 
-def clean_table(df: DataFrame) -> DataFrame:
-    """Column names, dates, identifiers, categories and number types; other columns stay as they are."""
+def clean_table(df: DataFrame, date_formats: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """Column names, dates, identifiers, categories and number types; other columns stay as they are.
+
+    ``date_formats`` names, per date column, what text dates may look like besides ISO.
+    """
+    date_formats = date_formats or {}
     tidy = ids_to_string(clean_column_names(df))
     present = set(tidy.columns)
     changes: dict[str, Column] = {}
-    changes |= {c: _day(tidy, c) for c in DATES if c in present}
+    changes |= {c: _day(tidy, c, date_formats.get(c, OTHER_FORMATS)) for c in DATES if c in present}
     changes |= {c: normalise_category(F.col(c)) for c in CATEGORIES if c in present}
     changes |= {c: _number(tidy, c, "bigint") for c in COUNTS if c in present}
     changes |= {c: _number(tidy, c, MONEY.simpleString()) for c in AMOUNTS if c in present}
     return tidy.withColumns(changes)
 
 
-def clean_tables(raw: FunnelTables) -> FunnelTables:
-    return FunnelTables(clean_table(raw.spend), clean_table(raw.conversions), clean_table(raw.entities))
+def clean_tables(raw: FunnelTables, date_formats: Mapping[str, Iterable[str]] | None = None) -> FunnelTables:
+    return FunnelTables(
+        clean_table(raw.spend, date_formats), clean_table(raw.conversions, date_formats), clean_table(raw.entities)
+    )
 
 
 def floored(df: DataFrame, name: str) -> Column:

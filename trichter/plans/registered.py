@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -13,7 +14,8 @@ from trichter.functions.dates import with_period
 from trichter.functions.numbers import money, rounded
 from trichter.operators import quality
 from trichter.operators.calendar import dense_grid, month_calendar, month_spine
-from trichter.operators.cleaning import clean_tables, repair_tables
+from trichter.operators.cleaning import clean_table, clean_tables, repair_tables
+from trichter.operators.date_formats import chosen_formats, date_format_counts
 from trichter.operators.questions import filter_result, intent_counts, tag_intent, with_slots
 from trichter.operators.rollup import conversions_by
 from trichter.operators.tiles import with_ntiles
@@ -27,9 +29,19 @@ from trichter.plans.segments import entity_totals
 from trichter.plans.series import with_month_name
 from trichter.plans.trends import SERIES, trend_runs
 from trichter.plans.volatility import lead_spread
-from trichter.sources.star import faulty_star_tables, questions, read_star, star_tables, untidy_star_tables
 from trichter.session import shared_folder
-from trichter.sources.tables import FunnelTables, load_tables, write_tables
+from trichter.sources import schemas
+from trichter.sources.rejects import read_csv_with_rejects
+from trichter.sources.star import (
+    booking_lines,
+    dated_star_bookings,
+    faulty_star_tables,
+    questions,
+    read_star,
+    star_tables,
+    untidy_star_tables,
+)
+from trichter.sources.tables import FunnelTables, load_tables, publish_tables, replace_months, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +173,38 @@ def _stored_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_plain_revenue(bookings: DataFrame) -> DataFrame:
+    return bookings.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+def _replaced_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings published without revenue, of which the first quarters are then replaced by the true ones."""
+    path, true = shared_folder(spark, "published"), star_tables(spark, folder)
+    unknown = replace(true, conversions=true.conversions.withColumn("revenue", F.lit(0).cast(schemas.MONEY)))
+    publish_tables(unknown, path, by_month=True)
+    quarter = replace(
+        true, spend=true.spend.where("month(date) <= 3"), conversions=true.conversions.where("month(booking_date) <= 3")
+    )
+    replace_months(quarter, path)
+    return _with_plain_revenue(load_tables(spark, path).conversions)
+
+
+def _read_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    path = shared_folder(spark, "lines")
+    booking_lines(spark, folder).write.text(path)
+    return read_csv_with_rejects(spark, path, schemas.CONVERSIONS.names)
+
+
+def _accepted_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_plain_revenue(clean_table(_read_lines(spark, folder)[0]))
+
+
+def _column_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings read in the one date format that fits their column."""
+    dated = dated_star_bookings(spark, folder)
+    return _with_plain_revenue(clean_table(dated, chosen_formats(date_format_counts(dated))))
+
+
 def _bookings_from_rollups(spark: SparkSession, folder: str) -> DataFrame:
     """Bookings and revenue in the six analyses that count bookings, run on stored rollups."""
     tables = star_tables(spark, folder).with_rollups(shared_folder(spark, "rollups"), revenue=False)
@@ -225,6 +269,11 @@ QUERIES: dict[str, Query] = {
     "clean_entities": _on_faulty(lambda t: t.entities),
     "stored_round_trip": _stored_rows,
     "catalogue_from_rollups": _bookings_from_rollups,
+    "replaced_months": _replaced_months,
+    "csv_accepted_lines": _accepted_lines,
+    "csv_rejected_lines": lambda spark, folder: _read_lines(spark, folder)[1].select("line"),
+    "date_format_counts": lambda spark, folder: date_format_counts(dated_star_bookings(spark, folder)),
+    "bookings_in_column_format": _column_dates,
     "quality_missing": _on_untidy(quality.missing_counts),
     "quality_duplicates": _on_untidy(
         lambda t: quality.duplicate_count(t.conversions, "booking_data", "booking_id")

@@ -139,6 +139,26 @@ def faulty_star_tables(spark: SparkSession, folder: str) -> FunnelTables:
     return FunnelTables(untidy.spend, conversions, entities)
 
 
+def dated_star_bookings(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings whose text dates are day first, but for some in ISO and some that are none."""
+    key = F.col("booking_id").cast("bigint")
+    day = F.when(key % 10 == 0, F.col("booking_date").cast("string")).otherwise(F.date_format("booking_date", "dd/MM/yyyy"))
+    dated = F.when(key % 79 == 0, F.lit("soon")).otherwise(day)
+    return _conversions(spark, folder).withColumn("booking_date", dated).withColumnRenamed("booking_date", "Booking Date")
+
+
+def booking_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings as lines of CSV without a header, some with a field too many and some with too few."""
+    key = F.col("booking_id").cast("bigint")
+    line = F.concat_ws(",", "booking_id", "hotel_id", "booking_date", "travel_type", "revenue")
+    return _conversions(spark, folder).select(
+        F.when(key % 71 == 0, F.concat(line, F.lit(",x")))
+        .when(key % 73 == 0, F.concat_ws(",", "booking_id", "hotel_id"))
+        .otherwise(line)
+        .alias("line")
+    )
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """User turns of a conversation log: ``conv_id``, ``turn``, ``text``."""
     log = read_star(spark, folder, "conversations")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trichter.operators.rollup import compact_bookings, compact_revenue, compact_spend
 from trichter.sources import schemas
+from trichter.sources.rejects import read_csv_with_rejects
+from trichter.sources.versions import current_version, make_current, version_folder
+
+STORED_MONTH = "stored_month"
 
 TABLE_NAMES = {
     "spend": "campaign_performance",
@@ -18,6 +27,13 @@ TABLE_NAMES = {
     "entities": "hotel_information",
 }
 
+# The day of each fact, and the order its rows are stored in.
+DAYS = {"spend": "date", "conversions": "booking_date"}
+CLUSTERED_BY = {
+    "spend": ("date", "hotel_id", "campaign_id"),
+    "conversions": ("booking_date", "hotel_id", "booking_id"),
+}
+
 
 @dataclass(frozen=True)
 class FunnelTables:
@@ -83,9 +99,13 @@ def load_tables(
     and is named. Declared columns come first, with their declared types, others follow as they
     are stored. CSV columns go by the names in the header and are read as text first, so no
     inference scan is needed; values that do not fit their type fail. ``raw=True`` is for
-    untidy sources: the columns stay as they are for the cleaning step.
+    untidy sources: the columns stay as they are for the cleaning step. Where versions were
+    published below ``path``, the last one is read.
     """
     names = {**TABLE_NAMES, **(names or {})}
+    version = current_version(spark, path)
+    if version is not None:
+        path = version_folder(path, version)
 
     def read(key: str, schema: StructType) -> DataFrame:
         reader = spark.read.format(fmt).options(**options)
@@ -94,13 +114,9 @@ def load_tables(
         if not raw and fmt == "json":
             reader = reader.schema(schema)
         location = f"{path.rstrip('/')}/{names[key]}"
-        try:
+        with _needed(names[key], fmt, location):
             df = reader.load(location)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(f"no {fmt} data for table {names[key]!r} at {location}") from error
-            raise
-        return df if raw else declared(df, schema, names[key])
+        return df if raw else declared(df.drop(STORED_MONTH), schema, names[key])
 
     return FunnelTables(
         read("spend", schemas.SPEND),
@@ -109,6 +125,31 @@ def load_tables(
     )
 
 
+@contextmanager
+def _needed(name: str, fmt: str, location: str) -> Iterator[None]:
+    try:
+        yield
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no {fmt} data for table {name!r} at {location}") from error
+        raise
+
+
+def load_raw_csv(
+    spark: SparkSession, path: str, names: dict[str, str] | None = None, **options: Any
+) -> tuple[FunnelTables, DataFrame]:
+    """Untidy CSV tables as text, and their broken lines as rows of (``table``, ``line``, ``file``)."""
+    names = {**TABLE_NAMES, **(names or {})}
+    whole: dict[str, DataFrame] = {}
+    broken: list[DataFrame] = []
+    for key, name in names.items():
+        location = f"{path.rstrip('/')}/{name}"
+        with _needed(name, "csv", location):
+            whole[key], rejected = read_csv_with_rejects(spark, location, **options)
+        broken.append(rejected.select(F.lit(name).alias("table"), "line", "file"))
+    return FunnelTables(**whole), reduce(DataFrame.unionAll, broken)
+
+
 def declared(df: DataFrame, schema: StructType, name: str) -> DataFrame:
     """Declared columns first and in their types, all others behind them; absent ones raise."""
     absent = [field.name for field in schema if field.name not in df.columns]
@@ -126,10 +167,11 @@ def write_tables(
     database: str | None = None,
     names: dict[str, str] | None = None,
     cluster: bool = True,
+    by_month: bool = False,
 ) -> None:
     """Create or replace the three tables, as files under ``path`` or as catalog tables in ``database``.
 
-    With ``cluster``, facts are range-partitioned by day, then entity: period filters skip files and row groups by
+    With ``by_month``, facts get one folder a month, which ``replace_months`` can replace alone. With ``cluster``, facts are range-partitioned by day, then entity: period filters skip files and row groups by
     their statistics, and because the entity and row ids are part of the range, one busy day
     or entity still spreads over many files.
     """
@@ -138,18 +180,55 @@ def write_tables(
     names = {**TABLE_NAMES, **(names or {})}
     frames = {"spend": tables.spend, "conversions": tables.conversions, "entities": tables.entities}
     if cluster:
-        frames["spend"] = _clustered(tables.spend, "date", "hotel_id", "campaign_id")
-        frames["conversions"] = _clustered(tables.conversions, "booking_date", "hotel_id", "booking_id")
+        frames |= {key: _clustered(frames[key], *columns) for key, columns in CLUSTERED_BY.items()}
     for key, df in frames.items():
+        if by_month and key in DAYS:
+            df = df.withColumn(STORED_MONTH, F.trunc(DAYS[key], "MM"))
         writer = df.write.format(fmt).mode("overwrite")
         if fmt == "csv":
             writer = writer.option("header", True)
+        if by_month and key in DAYS:
+            writer = writer.partitionBy(STORED_MONTH)
         if database is None:
             writer.save(f"{path.rstrip('/')}/{names[key]}")
         else:
             writer.saveAsTable(f"{database}.{names[key]}")
 
 
+def publish_tables(tables: FunnelTables, path: str, **options: Any) -> str:
+    """Write the tables as a new version below ``path`` and make it the current one; returns its name.
+
+    Readers see the old version until all three tables are complete, and then only the new one.
+    Earlier versions stay, so that running readers can finish. ``options`` are those of ``write_tables``.
+    """
+    version = uuid.uuid4().hex
+    write_tables(tables, version_folder(path, version), **options)
+    make_current(tables.spend.sparkSession, path, version)
+    return version
+
+
+def replace_months(tables: FunnelTables, path: str, fmt: str = "parquet", names: dict[str, str] | None = None) -> None:
+    """Replace those months of each stored fact that occur in the given one; all others stay untouched.
+
+    The stored facts must have been written with ``by_month``. Rows without a date are a month of
+    their own. A month is replaced when its whole job has succeeded; a job that fails changes
+    nothing. The facts are replaced one after the other; entities are left alone.
+    """
+    names = {**TABLE_NAMES, **(names or {})}
+    version = current_version(tables.spend.sparkSession, path)
+    folder = path.rstrip("/") if version is None else version_folder(path, version)
+    for key, df in (("spend", tables.spend), ("conversions", tables.conversions)):
+        location = f"{folder}/{names[key]}"
+        stored = df.sparkSession.read.format(fmt).load(location).columns
+        if STORED_MONTH not in stored:
+            raise ValueError(f"table {names[key]!r} at {location} is not stored by month")
+        dated = _clustered(df, *CLUSTERED_BY[key]).withColumn(STORED_MONTH, F.trunc(DAYS[key], "MM"))
+        writer = dated.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if fmt == "csv":
+            writer = writer.option("header", True)
+        writer.partitionBy(STORED_MONTH).save(location)
+
+
 def _clustered(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
