@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def find_contamination(
 
     Sets hold distinct five-word shingles (words between ASCII white space, A-Z in lower case; the
     whole sequence where there are fewer words), and containment is the share of the item's set
-    found in the document's. MinHash containment: under a universal hash function the smallest
+    found in the document's. An item of one to four words is held by every document in which these
+    words stand one after the other: windows of the lengths that occur among such items join the
+    documents' sets. MinHash containment: under a universal hash function the smallest
     shingle of an item lies in a document with a chance equal to the containment, however long
     the document is, so signatures of the items suffice. Items are partitioned by the size of
     their sets; a partition has as many hash functions as keep the chance to miss an item at the
@@ -48,9 +51,14 @@ def find_contamination(
     spark = docs.sparkSession
     sized = _with_shingles(items.select(items[item_id_col].alias("item_id"), items[item_text_col].alias("text")))
     sized = sized.filter(F.size("shingles") > 0).select(
-        "item_id", "shingles", F.size("shingles").alias("item_shingles"), row_key("item_id", "text").alias("item_key")
+        "item_id",
+        "shingles",
+        F.size("shingles").alias("item_shingles"),
+        F.size(words(F.col("text"))).alias("length"),
+        row_key("item_id", "text").alias("item_key"),
     )
     sized = written(sized.dropDuplicates(["item_key"]), "benchmark-sets")
+    lengths = sorted(r[0] for r in sized.filter(F.col("length") < SHINGLE).select("length").distinct().collect())
     minima = written(_minima(sized, containment, miss), "benchmark-minima")
     small = minima.count() <= _BROADCAST_ROWS
     numbers = sized.agg(F.sum("item_shingles")).first()[0] or 0
@@ -58,12 +66,12 @@ def find_contamination(
     source = docs.select(
         docs[id_col].alias("doc_id"), docs[text_col].alias("text"), row_key(id_col, text_col).alias("doc_key")
     )
-    found = _with_shingles(source).select("doc_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    found = _with_shingles(source, lengths).select("doc_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     met = found.join(F.broadcast(minima) if small else minima, "shingle").filter("n >= least")
     candidates = written(met.select("doc_key", "item_key").distinct(), "benchmark-candidates")
 
     chosen = source.join(candidates.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    chosen = _with_shingles(chosen).select("doc_key", "doc_id", F.col("shingles").alias("held"))
+    chosen = _with_shingles(chosen, lengths).select("doc_key", "doc_id", F.col("shingles").alias("held"))
     pairs = candidates.join(chosen, "doc_key").join(
         F.broadcast(sized) if numbers <= _BROADCAST_NUMBERS else sized, "item_key"
     )
@@ -90,21 +98,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(folded, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _with_shingles(df: DataFrame) -> DataFrame:
-    """Add the distinct hashes of the shingles of ``text``.
+def _with_shingles(df: DataFrame, lengths: Sequence[int] = ()) -> DataFrame:
+    """Add the distinct hashes of the shingles of ``text``, and of its windows of the ``lengths``.
 
     Words are hashed once and bound to a lambda's variable, and the result passes a generator of
     one row: both keep the optimizer from writing the expression out at every use.
     """
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    last = F.lit(SHINGLE)
+    none = F.array().cast("array<bigint>")
+
+    def windows(h: Column, length: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - F.lit(length))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + n) for n in range(length)]))
 
     def shingles(h: Column) -> Column:
-        several = F.transform(
-            F.sequence(F.lit(0), F.size(h) - last), lambda i: F.xxhash64(*[F.get(h, i + n) for n in range(SHINGLE)])
-        )
-        one = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return F.array_distinct(F.when(F.size(h) >= last, several).otherwise(one))
+        # The hash of an array is that of its elements as columns: a short item equals its window.
+        one = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
+        parts = [F.when(F.size(h) >= F.lit(SHINGLE), windows(h, SHINGLE)).otherwise(one)]
+        parts += [F.when(F.size(h) >= F.lit(n), windows(h, n)).otherwise(none) for n in lengths]
+        return F.array_distinct(F.concat(*parts) if lengths else parts[0])
 
     return df.select("*", F.explode(F.transform(F.array(hashed), shingles)).alias("shingles"))
 

@@ -96,6 +96,11 @@ item_words AS (
 ),
 held AS (
     SELECT doc_id, unnest({_SHINGLES}) AS shingle FROM doc_words
+    UNION
+    SELECT doc_id, shingle FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i : i + n - 1], ' '))) AS shingle
+        FROM doc_words JOIN (SELECT DISTINCT len(words) AS n FROM item_words WHERE len(words) BETWEEN 1 AND 4) ON len(words) >= n
+    )
 ),
 item_sets AS (
     SELECT item_id, {_SHINGLES} AS shingles FROM item_words
