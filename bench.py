@@ -1,7 +1,8 @@
 """Seconds per registered headline query; prints one JSON line.
 
 Each query is planned and executed into Spark's no-op sink: one warm-up, then the median of
-``BENCH_RUNS`` (default 3) timed runs.
+``BENCH_RUNS`` (default 3) timed runs. ``catalogue`` holds the seconds of whole catalogue runs over
+the same tables, one analysis after the other and four side by side; they are no part of ``value``.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import statistics
 import sys
 import time
 
-from trichter.plans.catalogue import ANALYSES
-from trichter.plans.registered import QUERIES
-from trichter.session import build_session
+from trichter.plans.catalogue import ANALYSES, run_catalogue
+from trichter.plans.registered import QUERIES, STAR_PARAMS
+from trichter.session import build_session, shared_folder
+from trichter.sources.star import star_tables
 
 EXTRA = ("ntile_global", "quality_report", "clean_tables", "question_intents")
 
@@ -45,6 +47,14 @@ def main() -> None:
     for name in names:
         once(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+
+    def catalogue(side_by_side: int) -> float:
+        start = time.perf_counter()
+        out = shared_folder(spark, "catalogue")
+        run_catalogue(star_tables(spark, folder), out, STAR_PARAMS, fmt="parquet", side_by_side=side_by_side)
+        return round(time.perf_counter() - start, 3)
+
+    runs_of_all = {} if sys.argv[1:] else {"one_by_one": catalogue(1), "four_side_by_side": catalogue(4)}
     spark.stop()
     print(
         json.dumps(
@@ -53,6 +63,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "catalogue": runs_of_all,
                 "sf": float(folder.rsplit("sf", 1)[-1]),
             }
         )

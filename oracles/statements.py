@@ -821,6 +821,15 @@ S["catalogue_from_rollups"] = " UNION ALL ".join(
     ]
 )
 
+S["catalogue_side_by_side"] = S["catalogue_from_rollups"]
+
+S["colocated_rollup"] = statement(
+    f"""
+    SELECT hotel_id, month, impressions, clicks, leads, {eur('a.cents')} AS cost,
+           {eur('s.cents')} AS revenue, coalesce(bookings, 0) AS bookings
+    FROM ad_month a FULL JOIN sale_month s USING (hotel_id, month)"""
+)
+
 S["replaced_months"] = statement(
     f"""
     SELECT booking_id, hotel_id, day AS booking_date, travel_type,

@@ -9,6 +9,7 @@
 from trichter.plans.catalogue import ANALYSES, Params, answer, run_catalogue, query
 from trichter.plans.ingest import ingest
 from trichter.session import build_session, durable
+from trichter.sources.colocated import load_colocated, publish_colocated
 from trichter.sources.tables import FunnelTables, load_tables, publish_tables, replace_months, write_tables
 
 __all__ = [
@@ -19,7 +20,9 @@ __all__ = [
     "build_session",
     "durable",
     "ingest",
+    "load_colocated",
     "load_tables",
+    "publish_colocated",
     "publish_tables",
     "query",
     "replace_months",

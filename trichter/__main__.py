@@ -8,7 +8,7 @@ from datetime import date
 from trichter.plans.catalogue import ANALYSES, Params, answer, run_catalogue
 from trichter.plans.ingest import ingest
 from trichter.session import build_session
-from trichter.sources.tables import load_tables
+from trichter.sources.colocated import load_colocated
 
 
 def parse(arguments: list[str] | None = None) -> argparse.Namespace:
@@ -20,13 +20,16 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     load.add_argument("target")
     load.add_argument("--format", default="csv", choices=["csv", "parquet", "orc", "json"])
     load.add_argument("--find-date-formats", action="store_true")
-    load.add_argument("--by-month", action="store_true")
+    layout = load.add_mutually_exclusive_group()
+    layout.add_argument("--by-month", action="store_true")
+    layout.add_argument("--buckets", type=int, help="store facts in this many buckets by entity")
 
     run = commands.add_parser("run", help="write the result of every named analysis")
     run.add_argument("tables")
     run.add_argument("out")
     run.add_argument("--only", nargs="+", choices=sorted(ANALYSES))
     run.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    run.add_argument("--side-by-side", type=int, default=4, help="analyses that run at the same time")
 
     ask = commands.add_parser("ask", help="answer one question from the stored tables")
     ask.add_argument("tables")
@@ -51,12 +54,13 @@ def main(arguments: list[str] | None = None) -> None:
             args.format,
             find_date_formats=args.find_date_formats,
             by_month=args.by_month,
+            buckets=args.buckets,
         )
         return
     params = Params(tuple(args.years), args.entity, tuple(args.period), tuple(args.compare))
-    tables = load_tables(spark, args.tables)
+    tables = load_colocated(spark, args.tables)
     if args.command == "run":
-        run_catalogue(tables, args.out, params, args.only, args.format)
+        run_catalogue(tables, args.out, params, args.only, args.format, args.side_by_side)
         return
     found = answer(tables, args.question, params)
     print(f"intent: {found.intent}")

@@ -11,6 +11,7 @@ from trichter.operators.cleaning import clean_tables, repair_tables
 from trichter.operators.date_formats import chosen_formats, date_format_counts
 from trichter.operators.quality import quality_report, table_summary
 from trichter.sources import schemas
+from trichter.sources.colocated import load_colocated, publish_colocated
 from trichter.sources.tables import (
     TABLE_NAMES,
     FunnelTables,
@@ -30,6 +31,7 @@ def ingest(
     *,
     find_date_formats: bool = False,
     by_month: bool = False,
+    buckets: int | None = None,
     **options: Any,
 ) -> FunnelTables:
     """Clean, report, repair and publish the tables found below ``source``, with all their columns.
@@ -41,8 +43,11 @@ def ingest(
     which both pass over the data more than once, start from the cleaned Parquet. Of CSV sources,
     broken lines are set aside in ``rejected/`` and counted in the report, by a pass of their own.
     With ``find_date_formats``, one more pass finds the format of each column of text dates, and
-    only that one and ISO are read. ``by_month`` stores facts by month, for ``replace_months``.
+    only that one and ISO are read. ``by_month`` stores facts by month, for ``replace_months``,
+    ``buckets`` stores them in that many buckets by entity, for ``load_colocated``; not both.
     """
+    if by_month and buckets is not None:
+        raise ValueError("facts are stored either by month or in buckets by entity")
     target = target.rstrip("/")
     if fmt == "csv":
         raw, broken = load_raw_csv(spark, source, **options)
@@ -67,7 +72,10 @@ def ingest(
         nowhere = F.lit(None).cast("string").alias("column")
         report = report.unionAll(counted.select(F.lit("rejected"), "table", nowhere, "count"))
     report.write.mode("overwrite").option("header", True).csv(f"{target}/quality_report")
-    publish_tables(repair_tables(cleaned), target, by_month=by_month)
-    stored = load_tables(spark, target)
+    if buckets is None:
+        publish_tables(repair_tables(cleaned), target, by_month=by_month)
+    else:
+        publish_colocated(repair_tables(cleaned), target, buckets)
+    stored = load_colocated(spark, target)
     table_summary(stored).write.mode("overwrite").option("header", True).csv(f"{target}/table_summary")
     return stored

@@ -17,10 +17,10 @@ from trichter.operators.calendar import dense_grid, month_calendar, month_spine
 from trichter.operators.cleaning import clean_table, clean_tables, repair_tables
 from trichter.operators.date_formats import chosen_formats, date_format_counts
 from trichter.operators.questions import filter_result, intent_counts, tag_intent, with_slots
-from trichter.operators.rollup import conversions_by
+from trichter.operators.rollup import conversions_by, funnel_rollup
 from trichter.operators.tiles import with_ntiles
 from trichter.plans.anomalies import kpi_zscores
-from trichter.plans.catalogue import ANALYSES, Params
+from trichter.plans.catalogue import ANALYSES, ON_MONTHLY_BOOKINGS, Params, run_catalogue
 from trichter.plans.catalogue import query as run
 from trichter.plans.comparison import entity_year_comparison
 from trichter.plans.divergence import diverging_windows
@@ -31,6 +31,7 @@ from trichter.plans.trends import SERIES, trend_runs
 from trichter.plans.volatility import lead_spread
 from trichter.session import shared_folder
 from trichter.sources import schemas
+from trichter.sources.colocated import load_colocated, publish_colocated
 from trichter.sources.rejects import read_csv_with_rejects
 from trichter.sources.star import (
     booking_lines,
@@ -51,6 +52,7 @@ STAR_PARAMS = Params(
     period=(date(2000, 6, 1), date(2000, 9, 1)),
     compare=(date(2000, 6, 1), date(2000, 8, 1)),
 )
+STAR_BUCKETS = 8
 
 
 def _analysis(name: str) -> Query:
@@ -205,13 +207,34 @@ def _column_dates(spark: SparkSession, folder: str) -> DataFrame:
     return _with_plain_revenue(clean_table(dated, chosen_formats(date_format_counts(dated))))
 
 
+def _colocated_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Both facts per entity and month, from facts stored in the same buckets by entity."""
+    path = shared_folder(spark, "colocated")
+    publish_colocated(star_tables(spark, folder), path, STAR_BUCKETS)
+    stored = load_colocated(spark, path)
+    months = with_period(stored.spend, "date", "month"), with_period(stored.conversions, "booking_date", "month")
+    rollup = funnel_rollup(*months, ["hotel_id", "month"]).drop("from_spend", "from_conversions")
+    return _in_money(rollup)
+
+
 def _bookings_from_rollups(spark: SparkSession, folder: str) -> DataFrame:
     """Bookings and revenue in the six analyses that count bookings, run on stored rollups."""
     tables = star_tables(spark, folder).with_rollups(shared_folder(spark, "rollups"), revenue=False)
+    return _booking_counts(lambda name: run(name, tables, STAR_PARAMS))
+
+
+def _bookings_side_by_side(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the results that a catalogue run of four analyses at a time has stored."""
+    out = shared_folder(spark, "catalogue")
+    run_catalogue(star_tables(spark, folder), out, STAR_PARAMS, ON_MONTHLY_BOOKINGS, "parquet", side_by_side=4)
+    return _booking_counts(lambda name: spark.read.parquet(f"{out}/{name}"))
+
+
+def _booking_counts(result: Callable[[str], DataFrame]) -> DataFrame:
     nobody, label = F.lit(None).cast("string"), F.lit(None).cast("string")
 
     def part(name: str, entity: Column, period: Column, bookings: str, revenue: str, label: Column) -> DataFrame:
-        return run(name, tables, STAR_PARAMS).select(
+        return result(name).select(
             F.lit(name).alias("analysis"),
             entity.alias("hotel_id"),
             period.cast("string").alias("period"),
@@ -269,6 +292,8 @@ QUERIES: dict[str, Query] = {
     "clean_entities": _on_faulty(lambda t: t.entities),
     "stored_round_trip": _stored_rows,
     "catalogue_from_rollups": _bookings_from_rollups,
+    "catalogue_side_by_side": _bookings_side_by_side,
+    "colocated_rollup": _colocated_rollup,
     "replaced_months": _replaced_months,
     "csv_accepted_lines": _accepted_lines,
     "csv_rejected_lines": lambda spark, folder: _read_lines(spark, folder)[1].select("line"),

@@ -19,6 +19,8 @@ def build_session(app_name: str = "trichter", master: str | None = None, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Analyses that run side by side share the cores; a session with one job at a time sees no difference.
+        .config("spark.scheduler.mode", "FAIR")
         # Recording the Python call site of every column expression doubles planning time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
