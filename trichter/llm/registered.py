@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms in place of personal numbers and dates."""
-    key = spark.conf.get("trichter.pseudonym.key", "a key for test data only")
+    """Every document with pseudonyms in place of personal numbers and dates.
+
+    ``trichter.pseudonym.secret`` holds the key; Spark redacts settings of such names. Without it a
+    key is drawn for this query alone, so its pseudonyms are linked to those of no other run.
+    """
+    key = spark.conf.get("trichter.pseudonym.secret", None) or secrets.token_hex(32)
     return pseudonymise(read_table(spark, sf_dir, "documents"), key).select("doc_id", "text", "pseudonyms")
 
 
