@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from trichter.llm.packing import pack
+from trichter.llm import packing
+from trichter.llm.packing import WordTokens, pack
 from trichter.llm.registered import QUERIES, tokenizer_path
 
 FIXTURE = [
@@ -70,3 +71,21 @@ def test_empty_table_and_bad_capacity(spark):
     assert pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     with pytest.raises(ValueError):
         pack(empty, "", capacity=1000)
+
+
+def test_text_without_spaces_does_not_fill_the_memo():
+    from tokenizers import Tokenizer
+
+    words = WordTokens(tokenizer_path())
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = ["\u6c34\u706b" * 400 + str(n) for n in range(50)] + ["ab" * 3000, "x" * 41 + "!" * 90, "Word, word,"]
+    for text in texts:
+        assert words.of(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, words)) <= 40 and max(map(len, words._stems), default=0) <= 80 and len(words) < 10
+
+
+def test_a_full_memo_starts_again(monkeypatch):
+    monkeypatch.setattr(packing, "_MEMO_WORDS", 3)
+    words, other = WordTokens(tokenizer_path()), WordTokens(tokenizer_path())
+    text = "one two, three; four five six? one two"
+    assert words.of(text) == b"".join(other.of(w) for w in text.split()) and len(words) <= 4

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 _TASK_BITS = 36  # a task's sequence numbers stay below this many bits
-_MEMO_WORDS = 1_000_000
+_MEMO_WORDS = 400_000
+_MEMO_SIGNS = 40  # longer words are found anew each time; with the number of words this bounds the memo's bytes
 _SIGNS = ".,;:!?|*&%$#"
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SLICE_ROWS = 256
@@ -44,7 +45,8 @@ def pack(
     Null and empty texts are a document of the end id alone. Rows are independent: repeated rows
     and null ids are packed like all others. Columns other than the two named are ignored. An
     empty table gives no rows. Memory: one slice of documents and at most one open bin per class;
-    a very long text is tokenized as a whole. Sequence ids combine the number of the task with a
+    a very long text is tokenized as a whole. The memo of
+    words holds short words only and is emptied when full, so text without spaces does not fill it. Sequence ids combine the number of the task with a
     running number, so a task that runs again after a lost executor gives the same ids.
     """
     if capacity < 1 or capacity & (capacity - 1):
@@ -122,26 +124,29 @@ class WordTokens(dict):
         self._stems: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-            self._stems.clear()
         return b"".join(map(self.__getitem__, _ascii_split(text)))
 
     def __missing__(self, word: str) -> bytes:
+        ids = self._found(word)
+        if max(len(self), len(self._stems)) >= _MEMO_WORDS:
+            self.clear()
+            self._stems.clear()
+        if len(word) <= _MEMO_SIGNS:
+            self[word] = ids
+        return ids
+
+    def _found(self, word: str) -> bytes:
         letters = word.rstrip(_SIGNS)
         plain = letters.isascii()
         if not letters.isalpha() or not (plain or (max(letters) < "\u0180" and "\u0130" not in letters)):
-            found = self._tokenizer.encode(word, add_special_tokens=False).ids
-            ids = self[word] = array("I", found).tobytes()
-            return ids
+            return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         lower = letters.lower() if plain else letters.lower().translate(_BYTES)
         ids = self._stems.get(lower)
         if ids is None:
-            ids = self._stems[lower] = array("I", [t.id for t in self._model.tokenize(lower)]).tobytes()
-        if len(letters) < len(word):
-            ids += self[word[len(letters) :]]
-        self[word] = ids
-        return ids
+            ids = array("I", [t.id for t in self._model.tokenize(lower)]).tobytes()
+            if len(letters) <= _MEMO_SIGNS:
+                self._stems[lower] = ids
+        return ids + self[word[len(letters) :]] if len(letters) < len(word) else ids
 
 
 def _ascii_split(text: str) -> list[str]:
