@@ -19,6 +19,7 @@ from trichter.sources import colocated
 from trichter.sources.colocated import load_colocated, publish_colocated
 from trichter.sources.star import star_tables, untidy_star_tables
 from trichter.sources.tables import FunnelTables, load_tables, write_tables
+from trichter.sources.versions import version_folder
 
 DATA = "/root/testdata/sf0.01"
 KEYS = ["hotel_id", "month"]
@@ -196,3 +197,15 @@ def test_one_failure_leaves_the_others(spark, tmp_path, monkeypatch):
     assert all(spark.read.parquet(f"{tmp_path}/{name}").count() for name in ("volatility_total", "monthly_kpis"))
     with pytest.raises(KeyError, match="unknown"):
         run_catalogue(tables, str(tmp_path), STAR_PARAMS, ["none"])
+
+
+def test_buckets_grow_with_the_facts(spark, tmp_path):
+    tables = star_tables(spark, DATA)
+    most = max(tables.spend.count(), tables.conversions.count())
+    version = publish_colocated(tables, str(tmp_path), 2, rows_a_bucket=most // 12)
+    assert colocated._layout(spark, version_folder(str(tmp_path), version)) == {"spend": 16, "conversions": 16}
+    stored = load_colocated(spark, str(tmp_path))
+    assert "Exchange" not in plan(monthly(stored))
+    assert rows(monthly(stored)) == rows(monthly(tables))
+    with pytest.raises(ValueError, match="at least one row"):
+        publish_colocated(tables, str(tmp_path), 2, rows_a_bucket=0)
