@@ -17,6 +17,7 @@ from trichter.operators.cleaning import (
     repair_spend,
     repair_tables,
 )
+from trichter.functions.dates import COLUMN_FORMATS, read_date
 from trichter.operators.date_formats import chosen_formats, date_format_counts
 from trichter.sources.tables import FunnelTables
 
@@ -147,3 +148,19 @@ def test_formats_that_read_as_many(spark):
         assert chosen_formats(date_format_counts(spark.createDataFrame(nothing, "date string"))) == {}
     typed = spark.createDataFrame([(date(2021, 1, 1), 1)], "date date, clicks int")
     assert date_format_counts(typed).collect() == []
+
+
+def test_only_texts_of_a_format_reach_the_parser(spark):
+    texts = ["31.12.2020", "29.02.2021", "1.2.2020", "00.01.2020", "32.01.2020", "01.13.2020", "01.01.+12020", "01.01.-0044", "01.01.12020"]
+    texts += ["01.01.2020 ", "01.01.2020\n", "01.01.20", "12/31/2020", "31/12/2020", "02/30/2020", "31-12-2020", "2020/12/31", "20201231"]
+    texts += ["+120201231", "120201231", "2020-12-31", "0١.01.2020", "soon", "", None, "03/04/2021", "01a01a2020"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fmt in (*COLUMN_FORMATS, "d.M.yyyy", "dd MMM yyyy"):
+        wrong = df.where(~read_date(F.col("t"), fmt).eqNullSafe(F.try_to_date("t", fmt)))
+        assert wrong.collect() == []
+    assert read_date(F.lit("x"), "dd.MM.yyyy")._jc.toString().startswith("CASE WHEN")
+    spark.conf.set("spark.sql.legacy.timeParserPolicy", "LEGACY")
+    try:
+        assert df.where("t = '1.2.2020'").select(read_date(F.col("t"), "dd.MM.yyyy")).first()[0] == date(2020, 2, 1)
+    finally:
+        spark.conf.unset("spark.sql.legacy.timeParserPolicy")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text dates that are understood, ISO with an optional time of day, and these formats.
@@ -16,11 +17,35 @@ OTHER_FORMATS = ("dd.MM.yyyy", "MM/dd/yyyy")
 COLUMN_FORMATS = ("dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd")
 
 
+# What the parser can read into each field of a format.
+_FIELDS = {"dd": "(0[1-9]|[12][0-9]|3[01])", "MM": "(0[1-9]|1[0-2])", "yyyy": "[+-]?[0-9]{4,}"}
+
+
+def read_date(text: Column, fmt: str) -> Column:
+    """``try_to_date``, called only for texts that look like ``fmt``.
+
+    For every text it cannot read the parser throws and catches an exception, which takes far
+    longer than the reading. Formats with other fields go to the parser at once, and so does
+    everything under a time parser policy with looser rules.
+    """
+    parsed = F.try_to_date(text, fmt)
+    parts = re.split("(dd|MM|yyyy)", fmt)
+    if any(re.search("[^-./ ]", literal) for literal in parts[0::2]) or not _strict_parser():
+        return parsed
+    shape = "".join(_FIELDS[p] if p in _FIELDS else re.escape(p) for p in parts)
+    return F.when(text.rlike(f"^{shape}$"), parsed)
+
+
+def _strict_parser() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.legacy.timeParserPolicy").upper() == "CORRECTED"
+
+
 def coerce_date(value: Column, formats: Iterable[str] = OTHER_FORMATS) -> Column:
     """ISO text or the first format that parses, else null; unparsable text never fails the job."""
     text = F.trim(value.cast("string"))
     iso = F.when(text.rlike(ISO_DATE), text.try_cast("date"))
-    return F.coalesce(iso, *[F.try_to_date(text, fmt) for fmt in formats])
+    return F.coalesce(iso, *[read_date(text, fmt) for fmt in formats])
 
 
 def with_period(df: DataFrame, date_column: str, *grains: str) -> DataFrame:
