@@ -164,3 +164,9 @@ def test_only_texts_of_a_format_reach_the_parser(spark):
         assert df.where("t = '1.2.2020'").select(read_date(F.col("t"), "dd.MM.yyyy")).first()[0] == date(2020, 2, 1)
     finally:
         spark.conf.unset("spark.sql.legacy.timeParserPolicy")
+
+
+def test_a_text_is_parsed_once_for_all_counts(spark):
+    dates = spark.createDataFrame([("03/04/2021",)], "date string")
+    plan = date_format_counts(dates)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == len(COLUMN_FORMATS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from trichter.functions.dates import COLUMN_FORMATS, coerce_date
+from trichter.functions.dates import COLUMN_FORMATS, coerce_date, read_date
 from trichter.operators.cleaning import DATES, clean_column_names
 
 
@@ -26,12 +26,15 @@ def date_format_counts(
     tidy = clean_column_names(df)
     formats = list(formats)
     names = [c for c in columns if c in tidy.columns and isinstance(tidy.schema[c].dataType, StringType)]
-    counters, entries = [], []
+    read, counters, entries = [], [], []
     for i, name in enumerate(names):
         text = F.trim(name)
         other = (text != "") & coerce_date(text, ()).isNull()
-        days = [F.when(other, F.try_to_date(text, fmt)) for fmt in formats]
-        counters.append(F.count_if(other).alias(f"o{i}"))
+        # Columns of their own, so that a text is parsed once, however many counters use it.
+        read.append(other.alias(f"other{i}"))
+        read += [F.when(other, read_date(text, fmt)).alias(f"day{i}_{j}") for j, fmt in enumerate(formats)]
+        days = [F.col(f"day{i}_{j}") for j in range(len(formats))]
+        counters.append(F.count_if(f"other{i}").alias(f"o{i}"))
         for j, day in enumerate(days):
             counters.append(F.count(day).alias(f"p{i}_{j}"))
             differs = [F.count_if(~day.eqNullSafe(rival)).alias(f"d{i}_{j}_{k}") for k, rival in enumerate(days) if k != j]
@@ -54,7 +57,7 @@ def date_format_counts(
         schema = "column string, format string, parsed bigint, others bigint, ambiguous boolean, chosen boolean"
         return df.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("column").orderBy(F.desc("parsed"), "place")
-    rows = tidy.agg(*counters).select(F.inline(F.array(*entries)))
+    rows = tidy.select(*read).agg(*counters).select(F.inline(F.array(*entries)))
     chosen = (F.row_number().over(best) == 1) & (F.col("parsed") > 0)
     return rows.withColumn("chosen", chosen).drop("place")
 
