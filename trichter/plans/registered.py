@@ -233,15 +233,23 @@ def _bookings_side_by_side(spark: SparkSession, folder: str) -> DataFrame:
 def _booking_counts(result: Callable[[str], DataFrame]) -> DataFrame:
     nobody, label = F.lit(None).cast("string"), F.lit(None).cast("string")
 
-    def part(name: str, entity: Column, period: Column, bookings: str, revenue: str, label: Column) -> DataFrame:
-        return result(name).select(
+    def row(name: str, entity: Column, period: Column, bookings: str, revenue: str, label: Column) -> list[Column]:
+        return [
             F.lit(name).alias("analysis"),
             entity.alias("hotel_id"),
             period.cast("string").alias("period"),
             F.col(bookings).alias("bookings"),
             F.col(revenue).alias("revenue"),
             label.alias("label"),
-        )
+        ]
+
+    def part(name: str, *columns: Column | str) -> DataFrame:
+        return result(name).select(*row(name, *columns))
+
+    def by_year(name: str, entity: Column) -> DataFrame:
+        """Both years from one evaluation."""
+        years = [row(name, entity, F.lit(y), f"bookings_{y}", f"revenue_{y}", label) for y in STAR_PARAMS.years]
+        return result(name).select(F.inline(F.array(*[F.struct(*year) for year in years])))
 
     hotel, segment = F.col("hotel_id"), F.col("segment_category")
     parts = [
@@ -249,11 +257,9 @@ def _booking_counts(result: Callable[[str], DataFrame]) -> DataFrame:
         part("segments_by_year", hotel, F.col("year"), "total_bookings", "total_revenue", segment),
         part("anomalies_total", hotel, F.col("month"), "bookings", "revenue", F.col("anomaly")),
         part("anomalies_by_year", hotel, F.col("month"), "bookings", "revenue", F.col("anomaly")),
+        by_year("executive_summary", nobody),
+        by_year("entity_year_comparison", hotel),
     ]
-    for year in STAR_PARAMS.years:
-        columns = (f"bookings_{year}", f"revenue_{year}")
-        parts.append(part("executive_summary", nobody, F.lit(year), *columns, label))
-        parts.append(part("entity_year_comparison", hotel, F.lit(year), *columns, label))
     return reduce(DataFrame.unionAll, parts)
 
 
