@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tests.helpers import bookings_table, entity_table, spend_table
 from trichter.__main__ import main
+from trichter.functions.dates import with_period
 from trichter.operators.cleaning import clean_tables, repair_tables
 from trichter.operators.quality import quality_report
+from trichter.operators.rollup import compact_bookings, funnel_rollup
 from trichter.plans.catalogue import (
     ANALYSES,
     ON_MONTHLY_BOOKINGS,
@@ -200,3 +202,22 @@ def test_a_catalogue_scans_raw_bookings_once(spark, stored, tmp_path):
 def test_unknown_analysis(spark, stored):
     with pytest.raises(KeyError, match="monthly_kpis"):
         query("nope", load_tables(spark, stored), Params())
+
+
+def test_monthly_bookings_are_not_reduced_again(spark, tmp_path):
+    bookings = bookings_table(
+        spark,
+        [("b1", "1", "2024-01-31", 10), ("b1", "1", "2024-01-02", 5), ("b1", "1", "2024-02-01", "0.07"), (None, "1", "2024-01-03", 4)],
+    )
+    tables = FunnelTables(spend_table(spark, [("1", "2024-01-05", 10, 5, 2, 3)]), bookings, entity_table(spark, ["1"]))
+    rolled = tables.with_rollups(str(tmp_path), revenue=False)
+
+    def monthly(t):
+        sales = with_period(t.bookings_by_month, "booking_date", "month")
+        return funnel_rollup(with_period(t.spend_by_month, "date", "month"), sales, ["hotel_id", "month"])
+
+    assert rows(monthly(rolled)) == rows(monthly(tables))
+    assert {r.month.month: (r.bookings, r.revenue_cents) for r in monthly(rolled).collect()} == {1: (1, 1900), 2: (1, 7)}
+    plans = [monthly(t)._jdf.queryExecution().optimizedPlan().toString() for t in (tables, rolled)]
+    assert [plan.count("Aggregate [") for plan in plans] == [2, 1]
+    assert "/ 100" not in compact_bookings(bookings)._jdf.queryExecution().optimizedPlan().toString()
