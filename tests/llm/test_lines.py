@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trichter.llm import banding, lines
@@ -140,3 +142,55 @@ def test_lines_that_share_a_node_are_told_apart(spark, monkeypatch):
     rows = [(d, f"{'abcdefgh'[d] * 30} {d}") for d in range(8)] + [(8, f"{'c' * 30} 2"), (9, f"{'e' * 30} 4")]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if r.dropped) == [8, 9]
+
+
+def test_compared_lines_travel_as_text(spark, monkeypatch):
+    """What the search carries of a line is no larger than the line (op2_line_dedup: disk and shuffle of round 3)."""
+    carried = []
+
+    def recording(df, name):
+        table = written(df, name)
+        if name == "sets":
+            carried.append(table.agg(F.sum(F.octet_length("hashes"))).first()[0])
+        return table
+
+    written = banding.written
+    monkeypatch.setattr(banding, "written", recording)
+    rows = _near_lines(30)
+    check(rows, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert 0 < carried[0] <= sum(len(text.encode()) for _, text in rows)
+
+
+def test_packed_entries_meet_as_in_one_place():
+    """Members of shared buckets, whatever the tasks and slices they come from; two entries of a bucket per task at most meet."""
+    rng = np.random.default_rng(0)
+    buckets = rng.integers(-(1 << 62), 1 << 62, 900)[rng.integers(0, 900, 4000)]
+    buckets[:500], nodes = 77, rng.integers(0, 400, 4000)
+    held = {}
+    for bucket, node in zip(buckets.tolist(), nodes.tolist()):
+        held.setdefault(bucket, set()).add(node)
+    expected = {(b, n) for b, some in held.items() if len(some) > 1 for n in some}
+    dealt = [row for part in np.array_split(np.arange(4000), 7) for row in banding._dealt(buckets[part], nodes[part], 5)]
+    found = {}
+    for number in range(5):
+        batches = [row.filter(pa.array(row.column("slice").to_numpy() == number)) for row in dealt]
+        for out in banding._met_buckets(b for b in batches if b.num_rows):
+            for bucket, node, hub in zip(*(out.column(c).to_pylist() for c in ("bucket", "node", "hub"))):
+                found.setdefault((bucket, node), set()).add(hub)
+    assert set(found) == expected
+    assert all(hub in held[bucket] and hub <= node for (bucket, node), hubs in found.items() for hub in hubs)
+
+
+def test_sets_read_and_compared_at_once_equal_single_ones(monkeypatch):
+    monkeypatch.setattr(banding, "_CELLS", 200)
+    texts = [text for _, text in _near_lines(40)] + ["a", "abcdefgh", "Größe", "aaaaaaaaaaaaaaaaaa"]
+    sets = lines._line_sets([pa.py_buffer(text.encode()) for text in texts])
+    assert [len(x) for x in sets] == [len(shingles(text)) for text in texts]
+    held = dict(enumerate(sets))
+    pairs = [(a, b) for a in held for b in range(a)]
+    alike = banding._alike_pairs(pairs, held, 75)
+    brute_force = [
+        100 * len(x & y) >= 75 * len(x | y) for x, y in ((shingles(texts[a]), shingles(texts[b])) for a, b in pairs)
+    ]
+    assert [alike(at) for at in range(len(pairs))] == brute_force
+    assert [banding._alike(held[a], held[b], 75) for a, b in pairs] == brute_force

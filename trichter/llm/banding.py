@@ -10,90 +10,166 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trichter.llm.common import drop_written, free_shuffles, salt_of, written
+from trichter.llm.common import drop_written, free_shuffles, written
+
+Numbers = Callable[[list[pa.Buffer]], list[np.ndarray]]
+
+
+def stored_numbers(payloads: list[pa.Buffer]) -> list[np.ndarray]:
+    """Full sets that are kept as their numbers of 64 bits."""
+    return [np.frombuffer(payload, np.uint64) for payload in payloads]
+
 
-_SALTS = 8
 _BLOCK, _BLOCK_BYTES = 256, 4_000_000
 _PAIRS_A_SHARE = 2000
 _SCREEN = 64  # minima that blocks carry
 _HELD_COMPONENTS = 500_000
+_HELD_ENTRIES, _SLICE_ENTRIES = 800_000, 500_000
+_EMITTED = 100_000
+_CELLS = 8_000_000
+_AT_ONCE = 1000  # sets that are read together
+
+_DEALT = "slice int, buckets binary, nodes binary, hubs binary"
 
 
-def entries_of(buckets: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Rows ``bucket, node, hub`` of the (bucket, node) pairs of one slice of a task.
+def _shared(signed: DataFrame) -> DataFrame:
+    """``bucket, node, hub`` of the members of buckets with several nodes, from ``node, buckets`` (packed numbers).
 
-    Of the nodes that share a bucket the smallest is the slice's hub. Its row names itself as hub,
-    the others name it, and a node that is alone in its bucket names none. Later steps bring
-    together one row per slice and bucket, however many nodes the bucket has.
+    Entries travel packed, a row per task and slice of the bucket numbers. Of the nodes that share a
+    bucket in a task only the two smallest travel to the bucket's slice; the others name the smallest as
+    their hub and are dealt out by node. So a slice meets two entries of a bucket per task, however many
+    nodes the bucket has.
     """
+    entries = signed.agg(F.sum(F.octet_length("buckets"))).first()[0] or 0
+    slices = max(1, -(-entries // (8 * _SLICE_ENTRIES)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            lists = batch.column("buckets").to_pylist()
+            buckets = np.frombuffer(b"".join(lists), np.int64)
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(x) // 8 for x in lists])
+            held.append((buckets, nodes))
+            size += len(buckets)
+            if size >= _HELD_ENTRIES:
+                yield from _dealt(*map(np.concatenate, zip(*held)), slices)
+                held, size = [], 0
+        if size:
+            yield from _dealt(*map(np.concatenate, zip(*held)), slices)
+
+    dealt = signed.select("node", "buckets").mapInArrow(deal, _DEALT).repartition(slices, "slice")
+    return dealt.mapInArrow(_met_buckets, "bucket long, node long, hub long")
+
+
+def _dealt(buckets: np.ndarray, nodes: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+    alone, (buckets, nodes) = _parted(buckets, nodes)
+    buckets, nodes, rank, hubs, _ = _ranked(buckets, nodes)
+    near, apart = rank < 2, rank > 1
+    for met in (alone, (buckets[near], nodes[near])):
+        if len(met[0]):
+            yield _packed(_slice_of(met[0], slices), *met)
+    if apart.any():
+        by = _slice_of(nodes[apart] * np.int64(-7046029254386353131), slices)
+        order = np.argsort(by, kind="stable")
+        yield _packed(by[order], buckets[apart][order], nodes[apart][order], hubs[apart][order])
+
+
+def _slice_of(numbers: np.ndarray, slices: int) -> np.ndarray:
+    """The number's part of the range of 64 bits, of ``slices`` equal ones."""
+    return (((numbers >> np.int64(32)) + np.int64(1 << 31)) * np.int64(slices)) >> np.int64(32)
+
+
+def _packed(by: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    starts = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    spans = [*zip(starts.tolist(), [*starts[1:].tolist(), len(by)])]
+    packed = [pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns]
+    packed += [pa.nulls(len(spans), pa.binary())] * (3 - len(packed))
+    return pa.RecordBatch.from_arrays([pa.array(by[starts], pa.int32()), *packed], ["slice", "buckets", "nodes", "hubs"])
+
+
+def _parted(buckets: np.ndarray, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs by bucket: first those of buckets that come once, then the others."""
+    order = np.argsort(buckets)
+    buckets, nodes = buckets[order], nodes[order]
+    once = np.ones(len(buckets), bool)
+    once[1:] &= buckets[1:] != buckets[:-1]
+    once[:-1] &= buckets[1:] != buckets[:-1]
+    return [(buckets[some], nodes[some]) for some in (once, ~once)]
+
+
+def _ranked(buckets: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs by bucket and node, with the rank in the bucket, its smallest node and its size."""
     order = np.lexsort((nodes, buckets))
     buckets, nodes = buckets[order], nodes[order]
     new = np.ones(len(buckets), bool)
     new[1:] = (buckets[1:] != buckets[:-1]) | (nodes[1:] != nodes[:-1])
     buckets, nodes = buckets[new], nodes[new]
-    first = np.ones(len(buckets), bool)
-    first[1:] = buckets[1:] != buckets[:-1]
-    at = np.flatnonzero(first)
-    hubs = np.repeat(nodes[at], np.diff(np.append(at, len(buckets))))
-    alone = first & np.append(first[1:], True)
-    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(nodes), pa.array(hubs, mask=alone)], ["bucket", "node", "hub"])
-
-
-ENTRIES = "bucket long, node long, hub long"
-
-
-def _shared(entries: DataFrame) -> DataFrame:
-    """``bucket, node, hub`` of the members of buckets with several nodes; only one row per slice meets others."""
-    spoke = F.col("node") != F.col("hub")
-    placed = entries.withColumn("apart", F.when(spoke, F.col("node")))
-    ordered = Window.partitionBy("bucket", "apart").orderBy("node")
-    same = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = placed.withColumns(
-        {
-            "least": F.min("node").over(same),
-            "most": F.max("node").over(same),
-            "held": F.count("hub").over(same),
-            "before": F.lag("node").over(ordered),
-        }
-    )
-    kept = met.filter("apart IS NOT NULL OR least < most OR held > 0").filter("before IS NULL OR before <> node")
-    return kept.select("bucket", "node", F.when(F.col("apart").isNull(), F.col("least")).otherwise(F.col("hub")).alias("hub"))
+    at = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
+    sizes = np.diff(np.append(at, len(buckets)))
+    return buckets, nodes, np.arange(len(buckets)) - np.repeat(at, sizes), np.repeat(nodes[at], sizes), np.repeat(sizes, sizes)
+
+
+def _met_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of shared buckets, from the packed entries of some slices."""
+    meeting, apart = [], []
+    for batch in batches:
+        for buckets, nodes, hubs in zip(batch.column("buckets"), batch.column("nodes"), batch.column("hubs")):
+            numbers = [np.frombuffer(x.as_buffer(), np.int64) for x in (buckets, nodes, hubs) if x.is_valid]
+            (meeting if len(numbers) == 2 else apart).append(numbers)
+    if meeting:
+        _, several = _parted(*map(np.concatenate, zip(*meeting)))
+        buckets, nodes, _, hubs, sizes = _ranked(*several)
+        yield from _emitted(*(x[sizes > 1] for x in (buckets, nodes, hubs)))
+    if apart:
+        buckets, nodes, hubs = map(np.concatenate, zip(*apart))
+        order = np.lexsort((hubs, nodes, buckets))
+        buckets, nodes, hubs = buckets[order], nodes[order], hubs[order]
+        new = np.append(True, (buckets[1:] != buckets[:-1]) | (nodes[1:] != nodes[:-1]))
+        yield from _emitted(buckets[new], nodes[new], hubs[new])
+
+
+def _emitted(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(columns[0]), _EMITTED):
+        part = [pa.array(c[start : start + _EMITTED]) for c in columns]
+        yield pa.RecordBatch.from_arrays(part, ["bucket", "node", "hub"])
 
 
 def linked_components(
-    entries: DataFrame,
+    signed: DataFrame,
     describe: Callable[[DataFrame], DataFrame],
     components_of: Callable[[DataFrame], DataFrame],
     *,
     similarity: int,
     minima: int,
-    number: type = np.uint64,
+    numbers: Numbers = stored_numbers,
+    small: bool = False,
 ) -> DataFrame:
     """``node, component`` of all nodes linked by a Jaccard similarity of ``similarity`` per cent.
 
-    ``entries`` has the rows of ``entries_of`` for all slices. ``describe`` gets the nodes of
-    buckets with several members and returns ``node, minima, hashes``: a byte of each of the
-    ``minima`` minima, and the full set as sorted unsigned numbers of type ``number``; a node may
-    come more than once. Every node
-    first meets the smallest hub of its buckets, then, in each bucket that holds another
+    ``signed`` has ``node, buckets``: the numbers of the node's buckets, 64 bits each, packed; a node may
+    come more than once. ``describe`` gets the nodes of buckets with several members and returns
+    ``node, minima, hashes``: a byte of each of the ``minima`` minima, and what ``numbers`` turns into the
+    full set as sorted unsigned numbers; a node may come more than once. ``small`` tells that this is
+    hardly larger than the minima, so that both travel together. Every node first meets the smallest hub of its buckets, then, in each bucket that holds another
     component, one node of that; those still in different components meet one another, in blocks.
     So a group of many copies costs a few comparisons per member, and no link that joins two
     components is missed. Every link is confirmed on the full sets.
     """
-    spark = entries.sparkSession
-    members = written(_shared(entries), "buckets")
+    spark = signed.sparkSession
+    members = written(_shared(signed), "buckets")
     free_shuffles(spark)
     sets = written(describe(members.select("node").distinct()), "sets")
     free_shuffles(spark)
 
     hubs = members.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("a"))
-    tried = _confirmed(hubs.select("a", F.col("node").alias("b")), sets, similarity, minima, number)
+    tried = _confirmed(hubs.select("a", F.col("node").alias("b")), sets, similarity, minima, numbers, small)
     components = components_of(tried.filter("linked").select("a", "b"))
 
     mixed = _mixed_buckets(members, components)
     pair = F.struct(F.least("far_node", "node").alias("a"), F.greatest("far_node", "node").alias("b")).alias("pair")
     far = mixed.filter("component <> far_component").select(pair).select("pair.*").distinct()
-    found = _confirmed(far.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity, minima, number)
+    found = _confirmed(far.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity, minima, numbers, small)
     following = _joined(components, found, components_of)
     for table in (mixed, tried, found):
         drop_written(table)
@@ -101,7 +177,7 @@ def linked_components(
     mixed = _mixed_buckets(members, following)
     drop_written(members)
     free_shuffles(spark)
-    links = _across(mixed, sets, similarity, minima, number)
+    links = _across(mixed, sets, similarity, minima, numbers)
     components = _joined(following, links, components_of)
     for table in (mixed, links, sets):
         drop_written(table)
@@ -117,24 +193,21 @@ def _joined(components: DataFrame, found: DataFrame, components_of: Callable[[Da
 
 
 def _mixed_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with one node of the bucket's last component."""
+    """Members of the buckets that hold more than one component, with one node of the bucket's last component.
+
+    Both sides of the joins are read from written tables, so adaptive execution can split a bucket of very many members.
+    """
     known = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = written(known.select("bucket", "node", "component").withColumn("salt", salt_of("node", _SALTS)), "known")
-    far = F.max(F.struct("component", "node"))
+    known = written(known.select("bucket", "node", "component"), "known")
+    far = F.max("component").alias("far_component"), F.max_by("node", "component").alias("far_node")
     mixed = (
         known.groupBy("bucket")
-        .agg(F.min("component").alias("near_component"), far.alias("far"), F.count(F.lit(1)).alias("size"))
-        .filter("near_component < far.component")
-        .select(
-            "bucket",
-            "size",
-            F.col("far.component").alias("far_component"),
-            F.col("far.node").alias("far_node"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
-        )
+        .agg(F.min("component").alias("near_component"), *far, F.count(F.lit(1)).alias("size"))
+        .filter("near_component < far_component")
+        .drop("near_component")
     )
-    found = known.join(mixed, ["bucket", "salt"]).select("bucket", "node", "size", "component", "far_component", "far_node")
-    found = written(found, "mixed")
+    found = known.join(written(mixed, "mixed-buckets"), "bucket")
+    found = written(found.select("bucket", "node", "size", "component", "far_component", "far_node"), "mixed")
     drop_written(known)
     return found
 
@@ -149,51 +222,62 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, minima: int, number: type) -> DataFrame:
-    """``a, b, linked`` of the pairs whose signatures agree often enough, written."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, minima: int, numbers: Numbers, small: bool) -> DataFrame:
+    """``a, b, linked`` of the pairs, or, unless ``small``, of those whose signatures agree often enough; written."""
     asked = written(pairs, "asked")
+    if small:
+        found = written(_confirm(asked, sets, similarity, numbers, minima), "pairs")
+        drop_written(asked)
+        return found
     screened = written(_screen(asked, sets, similarity, minima), "screened")
     drop_written(asked)
-    found = written(_confirm(screened, sets, similarity, number), "pairs")
+    found = written(_confirm(screened, sets, similarity, numbers), "pairs")
     drop_written(screened)
     return found
 
 
-def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """``a, b, one, two``: pairs with a column of both sets. A side ``a`` of many pairs is dealt out by their number."""
+def _with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both sets, ``one_...`` and ``two_...``. A side ``a`` of many pairs is dealt out by their number."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PAIRS_A_SHARE).cast("int").alias("shares"))
     left = sets.join(shares.withColumnRenamed("a", "node"), "node").select(
-        F.col("node").alias("a"), F.col(column).alias("one"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")
+        F.col("node").alias("a"), *(F.col(c).alias(f"one_{c}") for c in columns), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")
     )
-    right = sets.select(F.col("node").alias("b"), F.col(column).alias("two"))
+    right = sets.select(F.col("node").alias("b"), *(F.col(c).alias(f"two_{c}") for c in columns))
     dealt = pairs.join(shares, "a").withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "b"), F.col("shares")).cast("int"))
-    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "one", "two")
+    return dealt.join(right, "b").join(left, ["a", "salt"]).drop("shares", "salt")
+
+
+def _agreeing(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """How many minima agree in each row."""
+    return (_bytes(batch.column("one_minima"), width) == _bytes(batch.column("two_minima"), width)).sum(1)
 
 
 def _screen(pairs: DataFrame, sets: DataFrame, similarity: int, width: int) -> DataFrame:
     """Pairs whose signatures agree often enough."""
     least = _least_equal(similarity, width)
-    both = _with_both(pairs, sets, "minima")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                equal = (_bytes(batch.column("one"), width) == _bytes(batch.column("two"), width)).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(equal >= least))
+                yield batch.select(["a", "b"]).filter(pa.array(_agreeing(batch, width) >= least))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sets, "minima").select("a", "b", "one_minima", "two_minima").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int, number: type) -> DataFrame:
-    """``a, b, linked``: the similarity of the full sets reaches the bound."""
-    both = _with_both(pairs, sets, "hashes")
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int, numbers: Numbers, screened: int = 0) -> DataFrame:
+    """``a, b, linked``: the similarity of the full sets reaches the bound. With ``screened`` minima these are compared first."""
+    least = _least_equal(similarity, screened) if screened else 0
+    both = _with_both(pairs, sets, "hashes", *(["minima"] if screened else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for one, two in zip(batch.column("one"), batch.column("two")):
-                x, y = np.frombuffer(one.as_buffer(), number), np.frombuffer(two.as_buffer(), number)
-                linked.append(_alike(x, y, similarity))
+            fit = _agreeing(batch, screened) >= least if screened and batch.num_rows else np.ones(batch.num_rows, bool)
+            linked, rows = fit.copy(), np.flatnonzero(fit).tolist()
+            one, two = batch.column("one_hashes"), batch.column("two_hashes")
+            for start in range(0, len(rows), _AT_ONCE):
+                part = rows[start : start + _AT_ONCE]
+                sets = numbers([side[row].as_buffer() for side in (one, two) for row in part])
+                linked[part] = [_alike(x, y, similarity) for x, y in zip(sets, sets[len(part) :])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
             )
@@ -206,7 +290,7 @@ def _sizes_fit(n: int, m: int, similarity: int) -> bool:
     return 100 * min(n, m) >= similarity * max(n, m)
 
 
-def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, number: type) -> DataFrame:
+def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numbers: Numbers) -> DataFrame:
     """``a, b, linked``: links that join the components of mixed buckets, confirmed on the full sets; written.
 
     Members of a bucket are packed in blocks, and two blocks meet as one row unless both hold the
@@ -249,19 +333,42 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: int, width: int, numb
                 component = parent
             return component
 
+        def joined(rows: list[tuple[_Members, _Members, list[list[int]]]]) -> Iterator[list[int]]:
+            """Links of some meetings, whose sets are read at once."""
+            wanted: dict[int, pa.Buffer] = {}
+            for left, right, close in rows:
+                for m, n in close:
+                    for side, at in ((left, m), (right, n)):
+                        if (node := int(side.nodes[at])) not in wanted:
+                            wanted[node] = side.payload(at)
+            sets = dict(zip(wanted, numbers([*wanted.values()])))
+            for left, right, close in rows:
+                alike = _alike_pairs([(int(left.nodes[m]), int(right.nodes[n])) for m, n in close], sets, similarity)
+                for at, (m, n) in enumerate(close):
+                    x, y = root(int(left.groups[m])), root(int(right.groups[n]))
+                    if x != y and alike(at):
+                        above[max(x, y)] = min(x, y)
+                        yield sorted((int(left.nodes[m]), int(right.nodes[n])))
+
         for batch in batches:
-            links = []
+            links, held, size = [], [], 0
             for _, (left, a, right, b) in _met(batch, screened):
                 if len(above) > _HELD_COMPONENTS:
                     above.clear()
                 equal = (left.signs[a][:, None, :] == right.signs[b][None, :, :]).sum(2)
                 equal[left.groups[a][:, None] == right.groups[b][None, :]] = 0
-                close = np.argwhere(equal >= least) + (a.start, b.start)
-                for m, n in sorted(close.tolist(), key=lambda at: -equal[at[0] - a.start, at[1] - b.start]):
-                    x, y = root(int(left.groups[m])), root(int(right.groups[n]))
-                    if x != y and _alike(left.numbers("payload", m, number), right.numbers("payload", n, number), similarity):
-                        above[max(x, y)] = min(x, y)
-                        links.append(sorted((int(left.nodes[m]), int(right.nodes[n]))))
+                if left is right:
+                    equal = np.triu(equal)
+                close = np.argwhere(equal >= least)
+                close = (close[np.argsort(-equal[tuple(close.T)], kind="stable")] + (a.start, b.start)).tolist()
+                close = [(m, n) for m, n in close if root(int(left.groups[m])) != root(int(right.groups[n]))]
+                if close:
+                    held.append((left, right, close))
+                    size += min(2 * len(close), a.stop - a.start + b.stop - b.start)
+                if size >= _AT_ONCE:
+                    links += joined(held)
+                    held, size = [], 0
+            links += joined(held)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"]
             )
@@ -342,8 +449,35 @@ class _Members:
     def span(self, row: int) -> slice:
         return slice(self._ends[row], self._ends[row + 1])
 
-    def numbers(self, name: str, at: int, number: type) -> np.ndarray:
-        return np.frombuffer(self._values.field(name)[at].as_buffer(), number)
+    def payload(self, at: int) -> pa.Buffer:
+        return self._values.field("payload")[at].as_buffer()
+
+
+def _alike_pairs(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray], similarity: int) -> Callable[[int], bool]:
+    """Whether the pair of a number is alike. Where many pairs are made of few nodes, all are counted at once."""
+    nodes = {node: at for at, node in enumerate(dict.fromkeys(n for pair in pairs for n in pair))}
+    if len(pairs) <= 2 * len(nodes):
+        return lambda at: _alike(sets[pairs[at][0]], sets[pairs[at][1]], similarity)
+    sizes = np.array([len(sets[node]) for node in nodes])
+    common = _common([sets[node] for node in nodes], sizes)
+    fit = 100 * common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    return lambda at: bool(fit[nodes[pairs[at][0]], nodes[pairs[at][1]]])
+
+
+def _common(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How many numbers each two sets have in common: products of their incidence matrix, some columns at a time."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    step = max(1, _CELLS // len(sets))
+    for start in range(0, len(values), step):
+        a, b = np.searchsorted(column, (start, start + step))
+        part = np.zeros((len(sets), min(step, len(values) - start)), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        common += (part @ part.T).astype(np.int64)
+    return common
 
 
 def _met(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, tuple[_Members, slice, _Members, slice]]]:
@@ -358,5 +492,7 @@ def _met(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, tuple[_Member
 def _alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     if not _sizes_fit(len(x), len(y), similarity):
         return False
-    common = len(np.intersect1d(x, y, assume_unique=True))
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= similarity * (len(x) + len(y) - common)

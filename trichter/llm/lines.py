@@ -7,19 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from trichter.llm.banding import ENTRIES, entries_of, linked_components
-from trichter.llm.common import joined_by_frequency, written
+from trichter.llm.banding import linked_components
+from trichter.llm.common import drop_written, free_shuffles, joined_by_frequency, written
 from trichter.llm.components import union_find
 
 BANDS, ROWS = 16, 4
 SHINGLE = 8
-_CHUNK_CHARS = 120_000
+_CHUNK_CHARS = 80_000
 _SEEN_LINES = 200_000
-_SLICE_ENTRIES = 800_000
 _OUTER = " \t\r"
 
 
@@ -53,37 +53,39 @@ def dedup_lines(
     docs = docs.drop("lines", "kept_lines", "dropped")
     keyed = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     keyed = keyed.withColumns({"key": F.xxhash64(F.col("id").cast("string"), "text"), "key2": F.xxhash64(F.lit(1), F.col("id").cast("string"), "text")})
-    every = keyed.select("id", "key", "key2", F.posexplode(_lines(F.col("text"))).alias("n", "line")).filter(F.length("line") > 0)
+    every = _numbered(keyed.select("id", "key", "key2", "text").filter("text IS NOT NULL"))
     every = every.withColumns(dict(zip(("node", "check"), _line_digest("line"))))
+    spots = written(every.drop("line"), "line-places")
 
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "n", "key", "key2").alias("place")
-    spots = written(every.select(place, "node", "check"), "line-places")
-    distinct = written(spots.groupBy("node", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
+    counts = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("least"), F.max("check").alias("most"))
+    repeated = written(counts.filter("n > 1").select("node", "least", "most"), "line-repeats")
     # Of different lines that share a node, one (the least check) takes part in the search.
-    shared = distinct.groupBy("node").agg(F.min("check").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(shared.select("node", "least"), "line-shared")
-    searched = every.select("node", "check", "line")
+    searched = spots.filter("buckets IS NOT NULL")
+    shared = repeated.filter("least < most").select("node", "least")
     if not shared.isEmpty():
         searched = searched.join(shared, "node", "left").filter("least IS NULL OR least = check")
-    labels = similar_lines(searched.select("node", "line"), similarity)
+    labels = similar_lines(searched, keyed.select("key", "key2", "text"), similarity)
 
-    leading = distinct.groupBy("node").agg(F.min("check").alias("check"))
-    roots = leading.select(F.col("node").alias("component"), F.col("check").alias("root_check"))
-    labelled = labels.join(leading, "node").join(roots, "component")
-    grouped = distinct.join(labelled, ["node", "check"], "left").select(
-        "node", "check", "first", "n", F.coalesce("component", "node").alias("component"), F.coalesce("root_check", "check").alias("root_check")
-    )
-    grouped = written(grouped, "line-groups")
-    groups = grouped.groupBy("component", "root_check").agg(F.min("first").alias("least"), F.sum("n").alias("size")).filter("size > 1")
-    firsts = joined_by_frequency(grouped.select("node", "check", "component", "root_check"), ["component", "root_check"], groups)
-    firsts = written(firsts.filter("least IS NOT NULL").select("node", "check", "least"), "line-least")
-    repeats = joined_by_frequency(spots, ["node", "check"], firsts).filter("place <> least").select("place.*")
+    # Only lines that repeat or are like another one can go: a group is a component, or a line that was not searched.
+    involved = repeated.select("node", "least").join(labels, "node", "full").withColumn("component", F.coalesce("component", "node"))
+    led = F.col("least").isNull() | (F.col("least") == F.col("check"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "n", "key", "key2").alias("place")
+    group = [F.when(led, F.col("component")).otherwise(F.col("node")).alias("component"), F.when(led, 0).otherwise(F.col("check")).alias("other")]
+    hits = written(spots.join(involved, "node").select(place, *group, led.alias("led")), "line-hits")
+    counted = written(spots.groupBy("key", "key2").agg(F.max("lines").alias("lines")), "line-counts")
+    for table in (spots, repeated):
+        drop_written(table)
+    free_shuffles(docs.sparkSession)
+    same = ["component", "led", "other"]
+    groups = hits.groupBy(*same).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    repeats = joined_by_frequency(hits, same, written(groups, "line-least")).filter("place <> least").select("place.*")
     drops = repeats.groupBy("key", "key2").agg(F.sort_array(F.collect_set("n")).alias("gone"))
 
-    met = keyed.join(drops, ["key", "key2"], "left")
+    changes = written(counted.join(drops, ["key", "key2"], "left"), "line-changes")
+    met = keyed.select("row", "key", "key2").join(changes.hint("shuffle_hash"), ["key", "key2"], "left").withColumn("text", F.col("row")[text_col].cast("string"))
     none = F.array().cast("array<int>")
     rest = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
-    lines = F.coalesce(F.size(F.filter(_lines(F.col("text")), lambda x: F.length(x) > 0)), F.lit(0))
+    lines = F.coalesce("lines", F.lit(0))
     dropped = F.coalesce("gone", none)
     columns = [rest.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     cleaned = met.select(*columns, lines.alias("lines"), (lines - F.size(dropped)).alias("kept_lines"), dropped.alias("dropped"))
@@ -95,10 +97,6 @@ def _line_digest(line: str) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_OUTER)))
-
-
 @F.pandas_udf(StringType())
 def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     """The lines whose numbers are not listed."""
@@ -112,67 +110,132 @@ def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([rest(text, gone) for text, gone in zip(texts, dropped)])
 
 
-def similar_lines(source: DataFrame, similarity: int) -> DataFrame:
-    """``node, component`` of the lines (``node, line``) that are like a different one."""
+def similar_lines(searched: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """``node, component`` of the lines that are like a different one.
+
+    ``searched`` has ``key, key2, n, node, buckets``, a line more than once perhaps, and ``texts`` the text of each key.
+    """
 
     def describe(wanted: DataFrame) -> DataFrame:
-        # Equal lines come one after the other, so a task describes them once.
-        found = source.join(wanted, "node", "left_semi")
-        return found.mapInArrow(_describe, "node long, minima binary, hashes binary")
+        # Of each line one place is looked up, and a document is met once for all of its lines.
+        spots = searched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "key2", "n")).alias("at"))
+        asked = spots.groupBy("at.key", "at.key2").agg(F.collect_list(F.struct("at.n", "node")).alias("asked"))
+        return texts.join(asked.hint("shuffle_hash"), ["key", "key2"]).select("text", "asked").mapInArrow(_describe, "node long, minima binary, hashes binary")
 
     return linked_components(
-        source.mapInArrow(_enter, ENTRIES), describe, union_find, similarity=similarity, minima=BANDS * ROWS, number=np.uint32
+        searched, describe, union_find, similarity=similarity, minima=BANDS * ROWS, numbers=_line_sets, small=True
     )
 
 
-def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of the bands of all lines, in slices; a line that a task meets again is passed over."""
-    minhash = LineHash()
-    seen: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for nodes, lines in _new_lines(batch, seen):
-            buckets = minhash.bands(minhash.minima(lines))
-            held.append((buckets.ravel(), np.repeat(np.array(nodes, np.int64), BANDS)))
-        if sum(len(b) for b, _ in held) >= _SLICE_ENTRIES:
-            yield entries_of(*map(np.concatenate, zip(*held)))
-            held = []
+def _portions(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows that end in a line, in portions of bounded length."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= _CHUNK_CHARS:
+            yield held
+            held, size = [], 0
     if held:
-        yield entries_of(*map(np.concatenate, zip(*held)))
+        yield held
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """``id, key, key2, lines, n, line, buckets`` of all lines that are not blank, with how many the document has.
+
+    Where a task meets a line again, its buckets are null.
+    """
+    fields = [*texts.select("id", "key", "key2").schema, StructField("lines", IntegerType()), StructField("n", IntegerType()), StructField("line", StringType()), StructField("buckets", BinaryType())]
+
+    def lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, str]]:
+        for row, text in enumerate(batch.column("text")):
+            lines = [(n, line) for n, line in enumerate(x.strip(_OUTER) for x in text.as_py().split("\n")) if line]
+            yield from ((row, len(lines), n, line) for n, line in lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = LineHash()
+        seen: set[int] = set()
+        for batch in batches:
+            for held in _portions(lines_of(batch)):
+                rows, counts, numbers, lines = zip(*held)
+                if len(seen) >= _SEEN_LINES:
+                    seen.clear()
+                found: dict[int, int] = {}
+                for at, line in enumerate(lines):
+                    if (digest := xxhash.xxh3_64_intdigest(line)) not in seen:
+                        found.setdefault(digest, at)
+                seen.update(found)
+                buckets: list[bytes | None] = [None] * len(lines)
+                if found:
+                    for at, numbered in zip(found.values(), minhash.bands(minhash.minima([lines[at] for at in found.values()]))):
+                        buckets[at] = numbered.tobytes()
+                taken = pa.array(rows, pa.int32())
+                columns = [batch.column(c).take(taken) for c in ("id", "key", "key2")]
+                columns += [pa.array(counts, pa.int32()), pa.array(numbers, pa.int32()), pa.array(lines, pa.string()), pa.array(buckets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return texts.mapInArrow(run, StructType(fields))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash = LineHash()
     seen: set[int] = set()
+
+    def lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+        for text, asked in zip(batch.column("text"), batch.column("asked")):
+            lines = text.as_py().split("\n")
+            for wanted in asked.as_py():
+                if wanted["node"] not in seen:
+                    seen.add(wanted["node"])
+                    yield wanted["node"], lines[wanted["n"]].strip(_OUTER)
+            if len(seen) >= _SEEN_LINES:
+                seen.clear()
+
     for batch in batches:
-        for nodes, lines in _new_lines(batch, seen):
+        for held in _portions(lines_of(batch)):
+            nodes, lines = zip(*held)
             minima = minhash.bytes_of(minhash.minima(lines))
-            sets = [np.unique(minhash.shingles(line)).tobytes() for line in lines]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([m.tobytes() for m in minima]), pa.array(sets, pa.binary())],
-                ["node", "minima", "hashes"],
-            )
-
-
-def _new_lines(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[list[int], list[str]]]:
-    """Lines of a batch that are new to the task, in portions of bounded length."""
-    nodes, lines, size = [], [], 0
-    texts = batch.column("line")
-    for row, node in enumerate(batch.column("node").to_pylist()):
-        if node in seen:
-            continue
-        line = texts[row].as_py()
-        if len(seen) >= _SEEN_LINES:
-            seen.clear()
-        seen.add(node)
-        nodes.append(node)
-        lines.append(line)
-        size += len(line)
-        if size >= _CHUNK_CHARS:
-            yield nodes, lines
-            nodes, lines, size = [], [], 0
-    if nodes:
-        yield nodes, lines
+            columns = [pa.array(nodes, pa.int64()), pa.array([m.tobytes() for m in minima], pa.binary()), pa.array([x.encode() for x in lines], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "minima", "hashes"])
+
+
+def _line_sets(payloads: list[pa.Buffer]) -> list[np.ndarray]:
+    """The hashes of the lines' shingles, from the lines."""
+    if not payloads:
+        return []
+    hashes, starts = _shingles([payload.to_pybytes().decode() for payload in payloads])
+    sizes = np.diff(np.append(starts, len(hashes)))
+    by_line = np.repeat(np.arange(len(payloads), dtype=np.uint64) << np.uint64(32), sizes) | hashes
+    by_line.sort()
+    by_line = by_line[np.append(True, by_line[1:] != by_line[:-1])]
+    ends = np.searchsorted(by_line, np.arange(1, len(payloads), dtype=np.uint64) << np.uint64(32))
+    return np.split(by_line.astype(np.uint32), ends)
+
+
+def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of the lines, with the place where those of each line start."""
+    padded = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashes = _rolled(codes)
+    sizes = np.array([len(line) for line in padded])
+    starts = np.cumsum(sizes) - sizes
+    # Shingles that reach into the next line are left out.
+    own = np.ones(len(codes), bool)
+    for back in range(1, SHINGLE):
+        own[starts + sizes - back] = False
+    return hashes[own[: len(hashes)]], starts - np.arange(len(padded)) * (SHINGLE - 1)
+
+
+_BASE = [np.uint32(f) for f in (0x01000193, 0x85EBCA6B, 0xC2B2AE35)]
+
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """A hash of the eight characters from each place on, by doubling the width three times."""
+    hashes = codes
+    for factor, width in zip(_BASE, (1, 2, 4)):
+        hashes = hashes[:-width] * factor + hashes[width:]
+        hashes ^= hashes >> np.uint32(15)
+    return hashes * np.uint32(0x2C1B3C6D)
 
 
 class LineHash:
@@ -183,36 +246,16 @@ class LineHash:
         self._a = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self._b = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
         self._mix = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self._base = [np.uint32(f) for f in (0x01000193, 0x85EBCA6B, 0xC2B2AE35)]
-
-    def _rolled(self, codes: np.ndarray) -> np.ndarray:
-        """A hash of the eight characters from each place on, by doubling the width three times."""
-        hashes = codes
-        for factor, width in zip(self._base, (1, 2, 4)):
-            hashes = hashes[:-width] * factor + hashes[width:]
-            hashes ^= hashes >> np.uint32(15)
-        return hashes * np.uint32(0x2C1B3C6D)
-
-    def shingles(self, line: str) -> np.ndarray:
-        codes = np.frombuffer(line.ljust(SHINGLE, "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self._rolled(codes)
 
     def minima(self, lines: list[str]) -> np.ndarray:
         """One row per line."""
-        padded = [line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0") for line in lines]
-        codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        hashes = self._rolled(codes)
-        ends = np.cumsum([len(line) for line in padded])
-        # Shingles that reach into the next line lie between the end of a line's own and the next start.
-        bounds = np.empty(2 * len(padded), np.int64)
-        bounds[0::2] = np.concatenate(([0], ends[:-1]))
-        bounds[1::2] = ends - SHINGLE + 1
-        found = np.empty((len(self._a), len(padded)), np.uint32)
+        hashes, starts = _shingles(lines)
+        found = np.empty((len(self._a), len(lines)), np.uint32)
         buffer = np.empty_like(hashes)
         for n, (a, b) in enumerate(zip(self._a, self._b)):
             np.multiply(hashes, a, out=buffer)
             np.add(buffer, b, out=buffer)
-            found[n] = np.minimum.reduceat(buffer, bounds[:-1])[0::2]
+            found[n] = np.minimum.reduceat(buffer, starts)
         return found.T
 
     def bands(self, minima: np.ndarray) -> np.ndarray:

@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from trichter.llm.banding import ENTRIES, entries_of, linked_components
+from trichter.llm.banding import linked_components
 from trichter.llm.common import salt_of, written
 from trichter.llm.components import star_components
 
@@ -58,9 +58,9 @@ def near_duplicates(
     parts = rows.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"))
     classes = written(parts.groupBy("digest").agg(F.min("least").alias("node")), "minhash-classes")
 
-    firsts = linkable.join(classes, (F.col("doc_id") == F.col("node")) & (signed.digest == classes.digest)).select("node", "bands")
+    firsts = linkable.join(classes, (F.col("doc_id") == F.col("node")) & (signed.digest == classes.digest)).select("node", F.col("bands").alias("buckets"))
     components = linked_components(
-        firsts.mapInArrow(_entries, ENTRIES),
+        firsts,
         lambda wanted: _sets(source.join(wanted, source.doc_id == wanted.node, "left_semi")),
         star_components,
         similarity=similarity,
@@ -158,13 +158,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            yield entries_of(batch.column("bands").flatten().to_numpy(zero_copy_only=False), np.repeat(nodes, BANDS))
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with about ``_CHUNK_WORDS`` words, one text at least."""
     start, size, texts = 0, 0, []
@@ -184,7 +177,7 @@ def _signatures(source: DataFrame) -> DataFrame:
             StructField("doc_id", LongType()),
             StructField("n_shingles", LongType()),
             StructField("digest", BinaryType()),
-            StructField("bands", ArrayType(LongType())),
+            StructField("bands", BinaryType()),
         ]
     )
 
@@ -201,7 +194,7 @@ def _signatures(source: DataFrame) -> DataFrame:
                         part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([next(bands) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([next(bands).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     ],
                     schema.names,
                 )
